@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, secrets
+from quern.llm import bpe, langid, secrets, suffix_array, suffix_tree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": suffix_tree.op1,
+        "op2_suffix_array_dedup": suffix_array.op2,
         "op4_language_id": langid.op4,
         "op5_secret_scan": secrets.op5,
         "op9_bpe": bpe.op9,
@@ -18,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": suffix_tree.SQL}
