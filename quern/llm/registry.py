@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, secrets, suffix_array, suffix_tree
+from quern.llm import bpe, langid, near_dup, secrets, suffix_array, suffix_tree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": langid.op4,
         "op5_secret_scan": secrets.op5,
         "op9_bpe": bpe.op9,
+        "op10_near_dup": near_dup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": suffix_tree.SQL}
+    return {"op1_substring_dedup": suffix_tree.SQL, "op10_near_dup": near_dup.SQL}
