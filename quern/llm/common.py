@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes worked on at once; numpy needs some tens of bytes for each.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,15 +110,20 @@ def ranges(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int) -
 #: White space of the word contracts: space and \t \n \v \f \r.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: The ASCII bytes that are no letter or digit.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, stops, hashes) of the words ``[^\\x20\\x09-\\x0D]+`` in concatenated texts, and each text's first word (len + 1 of them)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, hashes) of the words ``[^\\x20\\x09-\\x0D]+`` in concatenated texts, and each text's first word (len + 1 of them).
+
+    ``lower``: A-Z count as a-z. ``marks``: words are runs of ASCII letters and digits and of all that isn't ASCII.
+    """
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~(_MARKS if marks else _SPACE)[data]
     before = np.empty(len(data), bool)
     before[:1] = False
     before[1:] = inside[:-1]

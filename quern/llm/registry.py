@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, near_dup, secrets, suffix_array, suffix_tree
+from quern.llm import bpe, decontaminate, langid, near_dup, secrets, suffix_array, suffix_tree, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_array_dedup": suffix_array.op2,
         "op4_language_id": langid.op4,
         "op5_secret_scan": secrets.op5,
+        "op6_decontamination": decontaminate.op6,
+        "op8_toxicity": toxicity.op8,
         "op9_bpe": bpe.op9,
         "op10_near_dup": near_dup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": suffix_tree.SQL, "op10_near_dup": near_dup.SQL}
+    return {"op1_substring_dedup": suffix_tree.SQL, "op6_decontamination": decontaminate.SQL, "op10_near_dup": near_dup.SQL}
