@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             start = stop
 
 
+def chosen(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray], limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, columns as they are, for whose texts ``judge`` gives true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", limit):
+            yield batch.filter(pa.array(judge(batch.column("text"))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array (nulls as empty) and its offsets, len(array) + 1 of them, from 0."""
     if isinstance(array, pa.ChunkedArray):

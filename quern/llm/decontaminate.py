@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BASES, blocks, mix, prefix_sums, ranges, raw, table, words
+from quern.llm.common import BASES, blocks, chosen, mix, prefix_sums, ranges, raw, table, words
 
 SIZE, PERCENT = 5, 80
 #: Bytes of benchmark text broadcast at once.
@@ -91,20 +91,41 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, percent: int
     texts that are null or without words match nothing. Rows and items that
     repeat are judged one by one; empty tables give no rows or no hits.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    amount = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    count = -(-int(amount) // BLOCK)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text string, hits array<struct<item_id: bigint, shared: bigint, size: bigint>>"
     out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.expr("cast(array() as array<struct<item_id: bigint, shared: bigint, size: bigint>>)").alias("hits"))
-    for k in range(count):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).toArrow()
-        shared = spark.sparkContext.broadcast(Items(block.column("item_id").to_pylist(), block.column("text").combine_chunks(), size, percent))
+    for shared in item_blocks(benchmark, size, percent):
         out = out.mapInArrow(_searched(shared), schema)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, columns as they are, that contain no test item; see ``search``."""
+    for shared in item_blocks(benchmark, size, percent):
+        docs = chosen(docs, _free(shared), LIMIT)
+    return docs
+
+
+def item_blocks(benchmark: DataFrame, size: int, percent: int) -> Iterator:
+    """Broadcast Items, each of about BLOCK bytes of text."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    amount = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    count = -(-int(amount) // BLOCK)
+    for k in range(count):
+        block = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).toArrow()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(block.column("item_id").to_pylist(), block.column("text").combine_chunks(), size, percent))
+
+
+def _free(shared):
+    def judge(texts: pa.Array) -> np.ndarray:
+        _, _, hashes, first = words(*raw(texts), lower=True, marks=True)
+        free = np.ones(len(texts), bool)
+        free[[hit[0] for hit in shared.value.hits(hashes, first)]] = False
+        return free
+
+    return judge
+
+
 def _searched(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import blocks
+from quern.llm.common import blocks, table
 
 
 def _either(word: str) -> str:
@@ -166,8 +166,19 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs`` with the secrets of their texts replaced; n_chars, if it is there, follows. See ``scan`` for odd rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            at = batch.schema.get_field_index("text")
+            texts = [t if not t or not (found := spans(t)) else redact(t, found) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")) if "n_chars" in docs.columns else out
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     """Contract query: counts, the digest of base spans, and all spans of every document."""
-    from quern.llm.common import table
-
     return scan(table(spark, sf_dir, "documents")).drop("redacted")
