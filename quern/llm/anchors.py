@@ -30,6 +30,8 @@ from quern.llm.common import BASES, blocks, cut, prefix_sums, ranges, raw, slidi
 STRETCH = 1 << 19
 #: Distinct stretches an anchor may have to be compared in memory; beyond it the prefix is lengthened to the whole window.
 GROUP = 500
+#: Bytes of stretches compared at once (and whole groups); so few stay in a core's cache.
+COMPARED = 1 << 17
 #: Stands for a null id, which takes no part in comparisons of ids.
 NO_ID = -(1 << 63)
 
@@ -189,7 +191,7 @@ def _compared(w: Windows, compare: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for batch in blocks(batches, "stretch", 1 << 20):
+        for batch in blocks(batches, "stretch", COMPARED):
             part = pa.Table.from_batches([batch])
             part = pa.concat_tables([kept, part]) if kept is not None else part
             key = np.asarray(part.column("key"))

@@ -21,6 +21,8 @@ from quern.llm.anchors import Windows, named, packed, repeated, unpack
 from quern.llm.common import blocks, table
 
 LENGTH, ANCHOR = 400, 100
+#: Steps to the end of an interval before it is looked up among all ends.
+NEAR = 16
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,34 +34,52 @@ def stretches(text: bytes):
 
 
 def sorted_suffixes(code: np.ndarray) -> np.ndarray:
-    """The suffix array of ``code``, by prefix doubling on the suffixes that aren't told apart yet."""
+    """The suffix array of ``code``, whose last symbol is nowhere else, by prefix doubling on the suffixes that aren't told apart yet."""
     n = len(code)
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    bits = int(code.max()).bit_length() + 1
+    size = 62 // bits
+    padded = np.append(code, np.zeros(size, np.int64))
+    first = np.zeros(n, np.int64)
+    for k in range(size):
+        first = first << bits | padded[k : k + n]
+    order = np.argsort(first)
+    head = np.ones(n + 1, bool)  # where suffixes begin that differ from those before
+    head[1:n] = np.diff(first[order]) != 0
     # rank: the place of the first suffix that is equal so far
-    head = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0))
-    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
-    size = 1
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    starts = np.flatnonzero(head[:n])
+    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
     while True:
-        sizes = np.diff(np.append(head, n))
-        open_ = np.repeat(sizes > 1, sizes)
-        places = np.flatnonzero(open_)
+        places = np.flatnonzero(~(head[:-1] & head[1:]))
         if not len(places):
             return order
         at = order[places]
-        after = at + size
-        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        pair = rank[at] * (n + 1) + second + 1
-        turn = np.argsort(pair, kind="stable")
+        pair = rank[at] * (n + 1) + rank[np.minimum(at + size, n)] + 1
+        turn = np.argsort(pair)
         at, pair = at[turn], pair[turn]
         order[places] = at
-        new = np.append(True, np.diff(pair) != 0)
-        start = places[np.flatnonzero(new)]
-        rank[at] = np.repeat(start, np.diff(np.append(np.flatnonzero(new), len(at))))
-        head = np.unique(np.concatenate([head, start]))
+        new = np.flatnonzero(np.append(True, np.diff(pair) != 0))
+        start = places[new]
+        rank[at] = np.repeat(start, np.diff(np.append(new, len(at))))
+        head[start] = True
         size *= 2
 
 
+def _ends(found: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """The next place behind each of ``front`` that is found: most are near, so a few steps are tried first."""
+    ends = front + 1
+    rest = np.flatnonzero(~found[ends])
+    for _ in range(NEAR):
+        if not len(rest):
+            return ends
+        ends[rest] += 1
+        rest = rest[~found[ends[rest]]]
+    bounds = np.flatnonzero(found)
+    ends[rest] = bounds[np.searchsorted(bounds, front[rest], side="right")]
+    return ends
+
+
 def bounded_boundaries(code: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each place in the suffix array, whether its suffix shares fewer than ``length`` symbols with the one before.
 
@@ -67,11 +87,11 @@ def bounded_boundaries(code: np.ndarray, order: np.ndarray, length: int) -> np.n
     turn. The boundary that opens an interval is extended backward by every
     symbol of the interval's transform: the first such symbol at or behind the
     boundary leads to a boundary of a value one larger, unless that has been
-    found.
+    found. Intervals of one value are disjoint, so no boundary is reached twice.
     """
     n = len(code)
     bwt = code[order - 1]  # the last symbol stands before the first
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16) if code.max() < 1 << 16 else bwt, kind="stable")
     step = np.empty(n, np.int64)
     step[by_symbol] = np.arange(n)  # where the suffix one symbol longer stands
     before = np.full(n, -1, np.int64)  # the last place with the same symbol
@@ -79,19 +99,17 @@ def bounded_boundaries(code: np.ndarray, order: np.ndarray, length: int) -> np.n
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
     found = np.zeros(n + 1, bool)
     found[n] = True
-    heads = np.sort(code)
+    heads = code[order]
     front = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
     found[front] = True
     for _ in range(1, length):
         if not len(front):
             break
-        bounds = np.flatnonzero(found)
-        ends = bounds[np.searchsorted(bounds, front, side="right")]
-        sizes = ends - front
+        sizes = _ends(found, front) - front
         start = np.repeat(front, sizes)
         place = start + np.arange(len(start)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         reached = step[place[before[place] < start]]
-        front = np.unique(reached[~found[reached]])
+        front = reached[~found[reached]]
         found[front] = True
     return found[:n]
 
