@@ -2,20 +2,482 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.functions import codecs, records, values
+from quern.operators import dictionary as dictionaries
+from quern.operators import shred as shredding
+from quern.sources import reader, sinks
+from quern.sources.metadata import metadata
+from quern.streaming import records as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: The widest value that bit-packed keys need.
+KEY_BITS = 32
+LEAF = "embedding.list.element"
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select(F.to_json(F.struct("*")).alias("record"))
+    """The orders table as JSON records."""
+    return records.to_records(_read(spark, sf_dir, "orders"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return reader.read(spark, _path(sf_dir, name))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the session shares with its executors."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="quern-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+# Scans
+
+
+@_query("select * from lineitem")
+def scan_full_lineitem(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem")
+
+
+@_query("select l_orderkey, l_quantity from lineitem where l_shipdate >= timestamp '1996-01-01' and l_quantity > 45")
+def scan_pruned_lineitem(spark, sf_dir):
+    """Two columns read and two filters pushed to the scan."""
+    df = _read(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("l_quantity") > 45))
+    return df.select("l_orderkey", "l_quantity")
+
+
+@_query("select r_regionkey, r_name from region")
+def scan_ranged(spark, sf_dir):
+    """The byte-range source, as for files behind HTTP."""
+    return reader.ranged(spark, _path(sf_dir, "region"))
+
+
+@_query("select n_nationkey, n_name from nation")
+def scan_row_group(spark, sf_dir):
+    """The first row group, which holds all of nation, and two of its columns."""
+    return reader.ranged(spark, _path(sf_dir, "nation"), [0], ["n_nationkey", "n_name"])
+
+
+@_query("select file_row_number as row_id, o_orderkey from (select row_number() over (order by o_orderkey) - 1 as file_row_number, o_orderkey from orders)")
+def numbered_orders(spark, sf_dir):
+    """Rows with their place in the file; orders are stored by key."""
+    return reader.numbered(spark, _path(sf_dir, "orders")).select("row_id", "o_orderkey")
+
+
+@_query("select event_id, epoch_us(ts) as ts from events")
+def raw_physical_events(spark, sf_dir):
+    """Timestamps as the integers that the file holds."""
+    return reader.read(spark, _path(sf_dir, "events"), ["event_id", "ts"], physical=True)
+
+
+@_query("select n_nationkey, octet_length(encode(n_name)) as n_bytes from nation")
+def raw_physical_strings(spark, sf_dir):
+    """Strings as the bytes that the file holds."""
+    return reader.read(spark, _path(sf_dir, "nation"), physical=True).select("n_nationkey", F.octet_length("n_name").cast("bigint").alias("n_bytes"))
+
+
+# Records
+
+
+@_query("select to_json({n_nationkey: n_nationkey, n_name: n_name, n_regionkey: n_regionkey})::varchar as record from nation")
+def record_json_nation(spark, sf_dir):
+    return records.to_records(_read(spark, sf_dir, "nation"), keep_nulls=True)
+
+
+@_query("select to_json({doc_id: doc_id, text: text, lang: lang, source: source, n_chars: n_chars})::varchar as record from documents")
+def record_json_documents(spark, sf_dir):
+    return records.to_records(_read(spark, sf_dir, "documents"), keep_nulls=True)
+
+
+@_query(
+    """select case when n_regionkey = 0 then to_json({n_nationkey: n_nationkey, n_name: n_name})::varchar
+       else to_json({n_nationkey: n_nationkey, n_name: n_name, n_regionkey: n_regionkey})::varchar end as record from nation"""
+)
+def null_elision(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    return records.to_records(nation.withColumn("n_regionkey", F.expr("nullif(n_regionkey, 0)")))
+
+
+@_query("select case when r_regionkey = 0 then 'null' else to_json({r_name: r_name})::varchar end as record from region")
+def null_rows(spark, sf_dir):
+    region = _read(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") != 0, F.col("r_name")).alias("r_name"))
+    return records.to_records(region, null_rows=True)
+
+
+@_query(
+    """select n_nationkey, case when n_nationkey % 2 = 0 then '{"b":"<non-utf8-string>"}' else to_json({b: n_name})::varchar end as record from nation"""
+)
+def record_json_bytes(spark, sf_dir):
+    """Bytes that are text, and bytes that aren't."""
+    nation = _read(spark, sf_dir, "nation")
+    odd = nation.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.lit(b"\xff")).otherwise(F.col("n_name").cast("binary")).alias("b"))
+    return odd.select("n_nationkey", records.record_json(odd.select("b")).alias("record"))
+
+
+@_query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def record_json_roundtrip(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").drop("o_orderdate")
+    return records.from_records(records.to_records(orders), orders.schema)
+
+
+@_query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+def record_bytes_roundtrip(spark, sf_dir):
+    customer = _read(spark, sf_dir, "customer")
+    return sinks.from_bytes(sinks.to_bytes(customer), customer.schema)
+
+
+@_query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+def record_cbor_roundtrip(spark, sf_dir):
+    supplier = _read(spark, sf_dir, "supplier")
+    return sinks.from_cbor(sinks.to_cbor(supplier), supplier.schema)
+
+
+@_query("select event_id, cast(props->>'$.k' as bigint) as k from events")
+def parse_props_json(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    return events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@_query("select event_id, cast(props->>'$.k' as bigint) as k from events")
+def variant_props_json(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    return events.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@_query("select doc_id, octet_length(encode(text))::bigint as n_bytes, md5(text) as digest from documents")
+def utf8_bytes(spark, sf_dir):
+    documents = _read(spark, sf_dir, "documents")
+    data = F.encode("text", "UTF-8")
+    return documents.select("doc_id", F.octet_length(data).cast("bigint").alias("n_bytes"), F.md5(data).alias("digest"))
+
+
+@_query("select conv_id, to_json(list({element: turn} order by turn))::varchar as turns from conversations group by conv_id")
+def raw_lists_conversations(spark, sf_dir):
+    """List elements inside the structs of the file's three levels."""
+    return records.wrap_lists(_turns(spark, sf_dir)).select("conv_id", F.to_json("turns").alias("turns"))
+
+
+@_query("select conv_id, to_json(list(turn order by turn))::varchar as turns from conversations group by conv_id")
+def collapse_element_conversations(spark, sf_dir):
+    wrapped = records.wrap_lists(_turns(spark, sf_dir))
+    return records.collapse_element(wrapped).select("conv_id", F.to_json("turns").alias("turns"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+
+
+# Shredding and assembly
+
+
+def _shredded(spark, sf_dir) -> DataFrame:
+    return shredding.shred(_read(spark, sf_dir, "embeddings"), ["vec_id"], LEAF)
+
+
+@_query(
+    """select vec_id, pos - 1 as pos, cast(pos > 1 as int) as rep, 3 as def, 3 as max_def, v::double as value
+       from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as pos from embeddings)"""
+)
+def shred_embeddings(spark, sf_dir):
+    of = _shredded(spark, sf_dir)
+    return of.select("vec_id", of["at"][0].cast("bigint").alias("pos"), "rep", "def", "max_def", of["value"].cast("double").alias("value"))
+
+
+@_query(
+    """select conv_id, sum(len(text))::bigint as n_chars, string_agg(text, chr(10) order by turn, text) as texts
+       from conversations group by conv_id"""
+)
+def assemble_conversations(spark, sf_dir):
+    turns = _conversation_entries(spark, sf_dir)
+    schema = T.StructType([T.StructField("texts", T.ArrayType(T.StringType()))])
+    parts = {"texts.list.element": turns.select("conv_id", "at", F.lit(3).alias("def"), F.col("text").alias("value"))}
+    out = shredding.assemble(parts, ["conv_id"], schema)
+    return out.select("conv_id", F.aggregate("texts", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t)).alias("n_chars"), F.array_join("texts", "\n").alias("texts"))
+
+
+def _conversation_entries(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    return _read(spark, sf_dir, "conversations").withColumn("at", F.array(place))
+
+
+@_query("select conv_id, to_json(list({turn: turn, role: role} order by turn, text))::varchar as turns from conversations group by conv_id")
+def assemble_list_of_struct(spark, sf_dir):
+    """Two leaves of a list of structs, zipped."""
+    turns = _conversation_entries(spark, sf_dir)
+    schema = T.StructType([T.StructField("turns", T.ArrayType(T.StructType([T.StructField("turn", T.LongType()), T.StructField("role", T.StringType())])))])
+    parts = {f"turns.list.element.{c}": turns.select("conv_id", "at", F.lit(4).alias("def"), F.col(c).alias("value")) for c in ("turn", "role")}
+    out = shredding.assemble(parts, ["conv_id"], schema)
+    return out.select("conv_id", F.to_json("turns").alias("turns"))
+
+
+@_query("select count(*) as n, count(*) as n_same from embeddings")
+def shred_assemble_identity(spark, sf_dir):
+    embeddings = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    schema = embeddings.select("embedding").schema
+    again = shredding.assemble({LEAF: _shredded(spark, sf_dir)}, ["vec_id"], schema)
+    both = embeddings.join(again.withColumnRenamed("embedding", "again"), "vec_id", "left")
+    same = values.same(F.col("embedding"), F.col("again"), schema["embedding"].dataType)
+    return both.agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
+
+
+@_query(
+    """select vec_id, generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding)::double as value, label from embeddings"""
+)
+def zip_columns(spark, sf_dir):
+    of = _shredded(spark, sf_dir)
+    flat = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    out = shredding.zip_columns([of.select("vec_id", of["at"][0].cast("bigint").alias("pos"), of["value"].cast("double").alias("value")), flat], ["vec_id"])
+    return out.select("vec_id", "pos", "value", "label")
+
+
+@_query(
+    """select label, vec_id, pos, sum(cast(pos = 0 as bigint)) over (partition by label order by vec_id, pos)::bigint as row_id
+       from (select label, vec_id, generate_subscripts(embedding, 1) - 1 as pos, unnest(embedding) as v from embeddings)"""
+)
+def record_grouping(spark, sf_dir):
+    of = shredding.shred(_read(spark, sf_dir, "embeddings"), ["vec_id", "label"], LEAF)
+    placed = of.withColumn("pos", of["at"][0].cast("bigint")).withColumn("place", F.struct("vec_id", "pos"))
+    return shredding.record_numbers(placed, "place", ["label"]).select("label", "vec_id", "pos", "row_id")
+
+
+# Codecs
+
+
+@_query(
+    """select o_orderkey, o_orderkey as decoded,
+       cast(case when o_orderkey < 128 then 1 when o_orderkey < 16384 then 2 when o_orderkey < 2097152 then 3 when o_orderkey < 268435456 then 4 else 5 end as bigint) as n_bytes from orders"""
+)
+def varint_roundtrip(spark, sf_dir):
+    """Keys, 0 among them, coded, and decoded with other bytes behind them."""
+    coded = _read(spark, sf_dir, "orders").select("o_orderkey", codecs.varint_encode(F.col("o_orderkey")).alias("b"))
+    found = codecs.varint_decode(F.concat("b", F.lit(b"\x01\x02"))).alias("d")
+    return coded.select("o_orderkey", found, "b").select("o_orderkey", F.col("d.value").alias("decoded"), F.octet_length("b").cast("bigint").alias("n_bytes"))
+
+
+@_query("select o_orderkey // 8 as part, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as keys from orders group by 1")
+def bitpack_roundtrip(spark, sf_dir):
+    groups = _read(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 8").alias("part")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    packed = groups.select("part", F.size("k").alias("n"), codecs.bit_pack(F.col("k"), KEY_BITS).alias("b"))
+    whole = F.rpad("b", KEY_BITS, F.lit(b"\x00"))
+    unpacked = codecs.bit_unpack(whole, KEY_BITS, 1)["values"]
+    return packed.select("part", F.array_join(F.slice(unpacked, F.lit(1), F.col("n")), ",").alias("keys"))
+
+
+@_query("select l_orderkey, string_agg(l_linenumber::varchar, ',' order by l_linenumber) as numbers from lineitem group by l_orderkey")
+def hybrid_roundtrip(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("bigint"))).alias("k"))
+    coded = lines.select("l_orderkey", F.size("k").alias("n"), codecs.hybrid_encode(F.col("k"), 8).alias("b"))
+    return coded.select("l_orderkey", F.array_join(codecs.hybrid_decode(F.col("b"), 8, F.col("n")), ",").alias("numbers"))
+
+
+@_query(
+    """select doc_id, ('0x' || substr(h, 1, 8))::bigint as be, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint as le
+       from (select doc_id, md5(text) as h from documents)"""
+)
+def uint_bytes(spark, sf_dir):
+    """The first four bytes of a digest in either byte order."""
+    data = _read(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("b"))
+    return data.select("doc_id", codecs.uint_be(F.col("b"), 4)["value"].alias("be"), codecs.uint_le(F.col("b"), 4)["value"].alias("le"))
+
+
+@_query("select n_nationkey, array_to_string(list_transform(range(3), lambda i: n_nationkey::varchar), ',') as repeated from nation")
+def rle_repeat(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    coded = nation.select("n_nationkey", F.concat(codecs.varint_encode(F.col("n_nationkey")), F.lit(b"\x07")).alias("b"))
+    return coded.select("n_nationkey", F.array_join(codecs.rle_decode(F.col("b"), 8, 3)["values"], ",").alias("repeated"))
+
+
+@_query("select n_nationkey, case when n_nationkey = 0 then 0 else floor(log2(n_nationkey))::int + 1 end as width from nation")
+def level_bit_width(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select("n_nationkey", codecs.level_bit_width(F.col("n_nationkey")).alias("width"))
+
+
+@_query(
+    """select conv_id, string_agg(case when role = 'user' then turn::varchar else '_' end, ',' order by turn, text) as slots,
+       string_agg(case when role = 'user' then '1' else '0' end, ',' order by turn, text) as levels from conversations group by conv_id"""
+)
+def spread_levels(spark, sf_dir):
+    """Defined values put back between nulls by their definition levels."""
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
+    split = turns.select(
+        "conv_id",
+        F.transform("t", lambda t: (t["role"] == "user").cast("int")).alias("levels"),
+        F.transform(F.filter("t", lambda t: t["role"] == "user"), lambda t: t["turn"]).alias("present"),
+    )
+    slots = codecs.spread(F.col("levels"), 1, F.col("present"))
+    pairs = codecs.zip_exact(slots, F.col("levels"), ("slot", "level"))
+    return split.select("conv_id", pairs.alias("p")).select("conv_id", F.array_join(F.col("p.slot"), ",", "_").alias("slots"), F.array_join(F.col("p.level"), ",").alias("levels"))
+
+
+# Dictionaries and runs
+
+
+def _languages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return documents, dictionaries.dictionary(documents, "lang", "doc_id")
+
+
+@_query("select row_number() over (order by first) - 1 as code, lang as value from (select lang, min(doc_id) as first from documents where lang is not null group by lang)")
+def dictionary_lang(spark, sf_dir):
+    return _languages(spark, sf_dir)[1]
+
+
+@_query(
+    """select doc_id, code from documents left join
+       (select row_number() over (order by first) - 1 as code, lang from (select lang, min(doc_id) as first from documents where lang is not null group by lang)) using (lang)"""
+)
+def dictionary_encode_lang(spark, sf_dir):
+    documents, entries = _languages(spark, sf_dir)
+    return dictionaries.dictionary_encode(documents, "lang", entries).select("doc_id", "code")
+
+
+@_query("select doc_id, lang from documents")
+def dictionary_decode(spark, sf_dir):
+    documents, entries = _languages(spark, sf_dir)
+    coded = dictionaries.dictionary_encode(documents, "lang", entries)
+    return dictionaries.dictionary_decode(coded, "lang", entries).select("doc_id", "lang")
+
+
+@_query(
+    """select user_id, run, event_type, count(*) as n from (
+         select user_id, event_type, sum(new) over (partition by user_id order by ts, event_id)::bigint - 1 as run from (
+           select user_id, event_type, ts, event_id,
+                  case when event_type is not distinct from lag(event_type) over w and row_number() over w > 1 then 0 else 1 end as new
+           from events window w as (partition by user_id order by ts, event_id)))
+       group by user_id, run, event_type"""
+)
+def rle_runs_events(spark, sf_dir):
+    return dictionaries.runs(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+# Values
+
+
+@_query("select conv_id, to_json(list_concat(list(turn order by turn), list(turn order by turn)))::varchar as turns from conversations group by conv_id")
+def list_concat(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return turns.select("conv_id", F.to_json(values.concat_lists(F.col("turns"), F.col("turns"))).alias("turns"))
+
+
+@_query("select n_nationkey as key, n_name as name, r_name as region from nation join region on n_regionkey = r_regionkey")
+def object_merge(spark, sf_dir):
+    """Both have ``name``; the left's stays."""
+    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    left = nation.select("n_regionkey", F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("a"))
+    right = region.select("r_regionkey", F.struct(F.col("r_name").alias("name"), F.col("r_name").alias("region")).alias("b"))
+    merged = values.merge_structs(F.col("a"), F.col("b"), left.schema["a"].dataType, right.schema["b"].dataType)
+    return left.join(right, F.col("n_regionkey") == F.col("r_regionkey")).select(merged.alias("m")).select("m.*")
+
+
+@_query("select n_nationkey, n_name as name, n_regionkey::varchar as region from nation")
+def map_merge(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    left = F.create_map(F.lit("name"), F.col("n_name"))
+    right = F.create_map(F.lit("name"), F.lit("other"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    merged = nation.select("n_nationkey", values.merge_maps(left, right).alias("m"))
+    return merged.select("n_nationkey", F.col("m")["name"].alias("name"), F.col("m")["region"].alias("region"))
+
+
+@_query("select conv_id, sum(case when turn % 2 = 0 then turn else 0 end)::bigint as total, min(turn) as first from conversations group by conv_id")
+def fold_defined(spark, sf_dir):
+    """A sum that skips what the step leaves undefined, and the first element."""
+    turns = _turns(spark, sf_dir)
+    step = lambda acc, x: F.when(x % 2 == 0, acc + x)
+    return turns.select("conv_id", values.fold_defined(F.col("turns"), F.lit(0).cast("bigint"), step).alias("total"), values.first_or_null(F.col("turns")).alias("first"))
+
+
+# Metadata
+
+
+@_query("select 'orders' as name, count(*) as num_rows, (select count(*) from duckdb_columns() where table_name = 'orders') as num_columns from orders")
+def meta_file(spark, sf_dir):
+    found = metadata(spark, "file_meta", _path(sf_dir, "orders"))
+    return found.agg(F.lit("orders").alias("name"), F.sum("num_rows").alias("num_rows"), (F.max("num_schema_elements") - 1).cast("bigint").alias("num_columns")).select("name", "num_rows", "num_columns")
+
+
+@_query(
+    """select column_index::int as ordinal, column_name as path_in_schema,
+       case data_type when 'BIGINT' then 'INT64' when 'INTEGER' then 'INT32' when 'DOUBLE' then 'DOUBLE' when 'VARCHAR' then 'BYTE_ARRAY' else 'INT64' end as type, 1 as max_def, 0 as max_rep
+       from duckdb_columns() where table_name = 'orders'"""
+)
+def meta_schema(spark, sf_dir):
+    """Columns of flat optional leaves with their levels."""
+    return metadata(spark, "schema", _path(sf_dir, "orders")).where("depth > 0").select("ordinal", "path_in_schema", "type", "max_def", "max_rep").distinct()
+
+
+@_query("select 'embedding.list.element' as path_in_schema, 'FLOAT' as type, 1 as max_rep, 3 as max_def")
+def meta_schema_nested(spark, sf_dir):
+    found = metadata(spark, "schema", _path(sf_dir, "embeddings")).where("type = 'FLOAT'")
+    return found.select("path_in_schema", "type", "max_rep", "max_def").distinct()
+
+
+@_query("select count(*) as num_rows, 6 as num_columns from orders")
+def meta_row_groups(spark, sf_dir):
+    return metadata(spark, "row_groups", _path(sf_dir, "orders")).agg(F.sum("num_rows").alias("num_rows"), F.max("num_columns").alias("num_columns"))
+
+
+@_query(
+    """select 'o_orderkey' as path_in_schema, count(*) as num_values, count(*) filter (o_orderkey is null) as null_count, min(o_orderkey) as least, max(o_orderkey) as most from orders
+       union all select 'o_custkey', count(*), count(*) filter (o_custkey is null), min(o_custkey), max(o_custkey) from orders"""
+)
+def meta_chunks(spark, sf_dir):
+    """Counts and statistics of two integer columns, decoded from their bytes."""
+    found = metadata(spark, "column_chunks", _path(sf_dir, "orders")).where("path_in_schema in ('o_orderkey', 'o_custkey')")
+    least, most = (codecs.uint_le(F.col(f"statistics.{c}_value"), 8)["value"] for c in ("min", "max"))
+    return found.groupBy("path_in_schema").agg(F.sum("num_values").alias("num_values"), F.sum("statistics.null_count").alias("null_count"), F.min(least).alias("least"), F.max(most).alias("most"))
+
+
+@_query("select column_name as path_in_schema, (select count(*) from orders) as num_values from duckdb_columns() where table_name = 'orders'")
+def pages_values(spark, sf_dir):
+    """Values of all data pages of each column."""
+    found = metadata(spark, "pages", _path(sf_dir, "orders")).where("type in ('DATA_PAGE', 'DATA_PAGE_V2')")
+    return found.groupBy("path_in_schema").agg(F.sum("num_values").alias("num_values"))
+
+
+# Streams
+
+
+@_query("select to_json({n_nationkey: n_nationkey, n_name: n_name, n_regionkey: n_regionkey})::varchar as record from nation")
+def stream_records(spark, sf_dir):
+    """All files there now, streamed to JSON lines and read again."""
+    folder = _shared_folder(spark)
+    schema = _read(spark, sf_dir, "nation").schema
+    stream = streams.follow(spark, sf_dir, schema, "nation.parquet")
+    streams.write_records(stream, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
+    return spark.read.text(f"{folder}/out").withColumnRenamed("value", "record")
