@@ -32,6 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def afresh(df: DataFrame) -> DataFrame:
+    """``cut`` for frames that loops join again and again.
+
+    A checkpoint hands on the size that the optimiser has estimated for it. That
+    of a join is the product of its sides', so in a loop it soon has millions of
+    digits, and planning takes longer than the work. This frame's size is
+    unknown to begin with; adaptive execution sees the real one.
+    """
+    spark, done = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes in ``column``, or one row."""
     for batch in batches:
