@@ -110,7 +110,8 @@ def bit_unpack_counted(data: Column, width: int) -> Column:
     def read(head: Column) -> Column:
         groups = F.call_function("shiftright", head.getField("value"), F.lit(1)).cast("int")
         body = bit_unpack(head.getField("rest"), width, groups, "most")
-        return _let(body, lambda b: F.struct(b.getField("values").alias("values"), (b.getField("consumed") + head.getField("consumed")).alias("consumed"), b.getField("rest").alias("rest")))
+        whole = lambda b: F.struct(b.getField("values").alias("values"), (b.getField("consumed") + head.getField("consumed")).alias("consumed"), b.getField("rest").alias("rest"))
+        return _let(body, lambda b: F.when(b.isNotNull(), whole(b)))
 
     return _let(varint_decode(data), read)
 
