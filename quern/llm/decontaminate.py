@@ -56,8 +56,9 @@ class Items:
         self.partitions = []
         for (gram, power), some in sorted(probes.items()):
             some.sort()
-            value, item = (np.array(x) for x in zip(*some))
-            self.partitions.append((gram, self.needed(1 << (power - 1)), value.astype(np.uint64), item.astype(np.int64)))
+            # Without the type, numbers on both sides of 2**63 would become floats and lose bits.
+            value, item = np.array([p for p, _ in some], np.uint64), np.array([i for _, i in some], np.int64)
+            self.partitions.append((gram, self.needed(1 << (power - 1)), value, item))
 
     def needed(self, n: int) -> int:
         return -(-self.percent * n // 100)

@@ -1,0 +1,296 @@
+"""op4 to op10 on small tables: brute force, round trips, held-out accuracy and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from conftest import SF, need_tables, prose
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, decontaminate, fingerprint, langid, near_dup, registry, secrets, toxicity
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+# Whole queries
+
+
+@need_tables()
+@pytest.mark.parametrize("name", registry.oracle_sql())
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    want = con.sql(registry.oracle_sql()[name]).df()
+    found = registry.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    rows = lambda frame: sorted(map(repr, frame[columns].itertuples(index=False, name=None)))
+    assert sorted(found.columns) == columns and rows(found) == rows(want)
+
+
+@need_tables()
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    found = {r["doc_id"]: r for r in registry.queries()["op4_language_id"](spark, SF).collect()}
+    held = [(r["lang"], found[r["doc_id"]]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert held and all(f["held_out"] for _, f in held)
+    right = [lang == f["lang_pred"] for lang, f in held if lang and f["lang_pred"] != "und"]
+    assert sum(right) / len(right) > 0.95
+    assert all(0 <= f["score"] <= 1 for f in found.values())
+
+
+def test_language_of_odd_rows(spark, unruly_docs, no_docs):
+    train = spark.createDataFrame([("the cat and the dog", "en"), ("le chat et le chien", "fr"), (None, "fr"), ("x", None)], "text string, lang string")
+    found = langid.identify(unruly_docs, train).collect()
+    rows = pairs(unruly_docs)
+    assert len(found) == len(rows)
+    none = [r for r in found if r["lang_pred"] == "und"]
+    assert len(none) == sum(not re.search(r"[^\W\d_]", t or "") for _, t in rows) and all(r["score"] == 0 for r in none)
+    assert langid.identify(no_docs, train).collect() == []
+    assert {r["lang_pred"] for r in langid.identify(unruly_docs, train.limit(0)).collect()} == {"und"}
+    one = spark.createDataFrame([(1, "the dog"), (2, "le chien"), (3, "12 ?")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(one, train).collect()} == {1: "en", 2: "fr", 3: "und"}
+
+
+# Secrets
+
+
+def base_by_rule(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [x[2] for x in sorted(out)]
+
+
+def test_base_secrets(spark, unruly_docs):
+    more = ["Password: aaaaaaaaaaaa token=short", "tokenſ=aaaaaaaaaaaaaa ſecret=aaaaaaaaaaaaaa", "secret=password=abcdefghijklmn", "AKIA" + "B" * 13, "AKIA" + "B" * 14 + "AKIA" + "C" * 20, "f" * 15 + " " + "f" * 16, '"api_key" : "abcd.efgh-1234"', "é" * 9 + "APIKEY='abcdefghijkl'"]
+    docs = unruly_docs.union(spark.createDataFrame(list(enumerate(more, 5000)), "doc_id bigint, text string"))
+    found = secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    want = []
+    for doc, text in pairs(docs):
+        base = base_by_rule(text)
+        want.append((doc, *(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(base).encode()).hexdigest()))
+    assert sorted((tuple(r)[:5] for r in found), key=str) == sorted(want, key=str)
+    for r in found:
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("named")] == base_by_rule(next(t for d, t in pairs(docs) if d == r["doc_id"] and hashlib.sha256(",".join(base_by_rule(t)).encode()).hexdigest() == r["base_sha256"]))
+
+
+def test_named_secrets_and_constants():
+    text = 'KEY_PART = "q8Zt!v2Lw9#Xp4"\nsigning_secret = KEY_PART\nname = "q8Zt!v2Lw9#Xp5"\nauth_token = "your-example-token"\n'
+    kinds = [(k, text[a:b]) for k, a, b, _, _ in secrets.spans(text) if k == "named"]
+    assert ("named", "q8Zt!v2Lw9#Xp4") in kinds and not any("Xp5" in v or "example" in v for _, v in kinds)
+    joined = 'db_password = "q8Zt!v2L" + "w9#Xp4zz"'
+    assert any(k == "named" for k, *_ in secrets.spans(joined))
+    assert secrets.redact(text, secrets.spans(text)).count("[SECRET]") >= 1 and "Xp4" not in secrets.redact(text, secrets.spans(text))
+
+
+def test_clean_keeps_rows_and_columns(spark, no_docs):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop!", 23, "x"), (2, None, None, "y"), (3, "plain", 5, "z")], "doc_id bigint, text string, n_chars bigint, spans string")
+    out = secrets.clean(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in out] == [(1, "token=[SECRET]", 14, "x"), (2, None, None, "y"), (3, "plain", 5, "z")]
+    assert secrets.clean(no_docs).collect() == []
+
+
+# Decontamination
+
+
+def contained(text, item, size=5):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    a, b = cut(text), cut(item)
+    m = min(size, len(b))
+    if not m:
+        return None
+    grams = lambda w: {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+    shared = len(grams(a) & grams(b))
+    return shared if 100 * shared >= 80 * len(grams(b)) else None
+
+
+def test_decontamination(spark, unruly_docs, no_docs):
+    rng = random.Random(3)
+    items = [(k, prose(rng, n)) for k, n in enumerate([1, 3, 5, 6, 8, 12, 40, 80])] + [(90, None), (91, ""), (92, "..."), (93, "one")]
+    hidden = [(3000 + k, prose(rng, 40).upper() + " - " + t.replace(" ", ", ") + " " + prose(rng, 300)) for k, t in items[:8]]
+    partly = [(4000 + k, " ".join(t.split()[: int(len(t.split()) * share)]) + " " + prose(rng, 30)) for k, t in items[4:8] for share in (0.7, 0.9)]
+    docs = unruly_docs.union(spark.createDataFrame(hidden + partly, "doc_id bigint, text string"))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.search(docs, benchmark).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.shared").collect()
+    want = [(d, i, n) for d, t in pairs(docs) for i, x in items if (n := contained(t, x)) is not None]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    kept = decontaminate.clean(docs, benchmark)
+    assert sorted(pairs(kept), key=str) == sorted(((d, t) for d, t in pairs(docs) if all(contained(t, x) is None for _, x in items)), key=str)
+    assert decontaminate.search(no_docs, benchmark).collect() == []
+    assert decontaminate.clean(docs, benchmark.limit(0)).count() == docs.count()
+
+
+# Fingerprints
+
+
+def test_fingerprints(spark, unruly_docs, no_docs, odd_docs):
+    rows = sorted(pairs(odd_docs), key=lambda r: -r[0])
+    found = {r["doc_id"]: r for r in fingerprint.compare_edited(odd_docs, 3).collect()}
+    assert len(found) == len(rows)
+    for k, (doc, text) in enumerate(rows):
+        text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
+        changed = fingerprint.edited(text, following)
+        assert (found[doc]["n_chars"], found[doc]["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        if changed == text:
+            assert found[doc]["near_edited"] == 1.0 and found[doc]["edited_fingerprint"] == found[doc]["fingerprint"]
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found.values())
+    by_text = {}
+    for doc, text in rows:
+        assert by_text.setdefault(text or "", found[doc]["fingerprint"]) == found[doc]["fingerprint"]
+    assert len(fingerprint.compare_edited(unruly_docs, 3).collect()) == unruly_docs.count()
+    assert fingerprint.compare_edited(no_docs).collect() == []
+    alone = fingerprint.compare_edited(odd_docs.where("doc_id = 11 or text like 'two words'").limit(1)).collect()
+    assert len(alone) == 1 and alone[0]["near_next"] == 1.0
+
+
+def test_likeness_tells_halves_from_strangers():
+    rng = random.Random(8)
+    rank = np.arange(fingerprint.LEVELS + 1)
+    a, b = (" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(600)).encode() for _ in range(2))
+    mixed = a[: len(a) // 2] + b[: len(a) // 2]
+    da, db, dm = fingerprint.digests([a, b, mixed], rank)
+    assert fingerprint.likeness(da, da) == 1.0
+    assert fingerprint.likeness(da, dm) > 0.3 > 0.1 > fingerprint.likeness(da, db)
+    many = fingerprint.digests([a, b"", mixed, b"x"], rank)
+    assert [x.tobytes() for x in many] == [fingerprint.digests([t], rank)[0].tobytes() for t in (a, b"", mixed, b"x")]
+
+
+# Toxicity
+
+
+@need_tables()
+def test_toxicity_held_out(spark):
+    sf = SF.replace("0.001", "0.1")
+    found = {r["doc_id"]: r for r in registry.queries()["op8_toxicity"](spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    held = [(r["toxic"], found[r["doc_id"]]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert all(f["held_out"] for _, f in held) and all(0 <= f["score"] <= 1 for f in found.values())
+    toxic, clean = [f["score"] for y, f in held if y], [f["score"] for y, f in held if not y]
+    order = np.mean([a > b for a in toxic for b in clean])
+    assert order > 0.85
+    assert all(f["predicted"] == (f["score"] >= 0.7) for f in found.values())
+
+
+def test_toxicity_of_odd_rows(spark, unruly_docs, no_docs):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 60) + (" foul vile" * 4 if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(300)] + [(301, None, 1), (302, "", 0), (303, "text", None)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    found = toxicity.score(unruly_docs.union(spark.createDataFrame([(9001, prose(rng, 60) + " foul vile" * 4)], "doc_id bigint, text string")), train).collect()
+    assert len(found) == unruly_docs.count() + 1
+    scores = {r["doc_id"]: r["score"] for r in found}
+    assert scores[9001] >= 0.7 > scores[0]
+    assert toxicity.score(no_docs, train).collect() == []
+    for few in (train.limit(0), train.where("toxic = 0"), train.where("toxic = 1")):
+        assert all(0 <= r["score"] <= 1 for r in toxicity.score(unruly_docs, few).collect())
+    kept = toxicity.clean(train.select("doc_id", "text", F.lit(1).alias("score")), train)
+    assert kept.columns == ["doc_id", "text", "score"] and kept.where("doc_id % 5 = 0 and doc_id < 300").count() < 10 and kept.where("doc_id % 5 <> 0").count() > 230
+
+
+# BPE
+
+
+def test_bpe_is_the_library_s(spark, unruly_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    more = ["a" * 70, "ſſ ß ŉ ǆ", "​ x\u0085y", "  \n\n  a", "'S 'll we'LL", "x<|endoftext|><|endoftext", "퟿", "\x00\x1c\x1d\x1e\x1f a"]
+    docs = unruly_docs.union(spark.createDataFrame(list(enumerate(more, 7000)), "doc_id bigint, text string"))
+    found = bpe.encode(docs).collect()
+    want = []
+    for doc, text in pairs(docs):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        want.append((doc, len(ids), ids, decoded, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert bpe.encode(no_docs).collect() == []
+
+
+def test_bpe_merges_without_the_fast_core():
+    code = bpe.Codec(bpe.default_path())
+    rng = random.Random(2)
+    for _ in range(300):
+        data = "".join(rng.choice(["the", "ing", "é", "zq", "0", "\n", "漢"]) for _ in range(rng.randint(1, 20))).encode()
+        assert code.merge(data) == code.merge_plain(data)
+        cuts = [0, *code.cuts(data), len(data)]
+        assert b"".join(code.merge_plain(data[a:b]) for a, b in zip(cuts, cuts[1:])) == code.merge_plain(data)
+
+
+# Near duplicates
+
+
+def brute_components(rows, size, percent):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        if not w:
+            return frozenset()
+        return frozenset([tuple(w)] if len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)])
+
+    sets = [(d, shingles(t)) for d, t in rows]
+    parent = {d: d for d, _ in rows if d is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if a is not None and b is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return sorted(((d, len(s), None if d is None else root(d), d is None or root(d) == d) for d, s in sets), key=str)
+
+
+@pytest.mark.parametrize("which", ["odd_docs", "no_docs"])
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(request, which, size, percent):
+    docs = request.getfixturevalue(which)
+    found = near_dup.near_duplicates(docs, size, percent).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(pairs(docs), size, percent)
+
+
+def test_near_duplicates_of_unruly_rows(unruly_docs):
+    found = near_dup.near_duplicates(unruly_docs).collect()
+    assert len(found) == unruly_docs.count()
+    assert all(r["component_id"] is None and r["kept"] for r in found if r["doc_id"] is None)
+    assert near_dup.distinct(unruly_docs).where("doc_id is null").count() == 2
+
+
+def test_large_groups_of_near_copies(spark):
+    """Chains and stars of changes around one text: more than SMALL in a bucket, with links that the pivot doesn't explain."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(6)}"
+        rows.append((k, " ".join(w)))
+    at = list(base)
+    for k in range(40, 60):  # a chain, each a small step from the one before
+        at[(k - 40) * 6] = f"s{k}"
+        rows.append((k, " ".join(at)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size, percent in ((3, 85), (3, 95), (1, 85)):
+        found = near_dup.near_duplicates(docs, size, percent).collect()
+        assert sorted(map(tuple, found), key=str) == brute_components(rows, size, percent)
+
+
+def test_sketches_fill_every_coordinate():
+    value = np.sort(np.random.default_rng(0).integers(1, 1 << 62, 7).astype(np.uint64))
+    sketch = near_dup.sketches(value, np.array([0, 7, 7]), 60)
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    assert (sketch[0] != full).all() and (sketch[1] == full).all()
