@@ -1,7 +1,7 @@
 """Bit-packing, run-length and variable-length integer codecs as column expressions.
 
 Everything but the multi-run hybrid is built from Spark's own functions, so it
-stays in generated code. A decoder gives a struct: what it read (``value`` or
+runs in the JVM (lambdas over arrays there are interpreted, not generated). A decoder gives a struct: what it read (``value`` or
 ``values``), how many bytes that took (``consumed``) and the bytes behind them
 (``rest``). A null argument gives null; bytes that end too early raise an error.
 """
