@@ -139,21 +139,25 @@ def repeated(docs: DataFrame, w: Windows, compare: Callable) -> DataFrame:
     whole = whole.select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("n") + (w.length - 1)).alias("stop"))
     # One stretch for each of the others is compared with the rest of its anchor's group.
     groups = cut(stretches.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    alive = stretches.join(groups, "key").select("doc", "th", F.struct("key", "at", "n", "members").alias("s")).groupBy("doc", "th").agg(F.collect_list("s").alias("s"))
+    alive = stretches.join(groups, "key").select("doc", "th", F.struct("key", "span", "at", "n", "members").alias("s")).groupBy("doc", "th").agg(F.collect_list("s").alias("s"))
     texts = packed(docs).drop("doc_id")
     found = cut(_stretch_rows(texts.join(alive, ["doc", "th"]), w))
-    cold = found.where("stretch is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(w, compare), "doc bigint, th bigint, start bigint, stop bigint")
+    cold = found.where("stretch is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(w, compare), "key bigint, span bigint, doc bigint, th bigint, at bigint, start bigint, stop bigint")
     hot = found.where("window is not null")
     counted = cut(hot.groupBy("key", "window").agg(F.min("doc").alias("least"), F.count("*").alias("copies")))
     hot = hot.join(counted, ["key", "window"]).where(F.col("doc") > F.col("least") if w.smaller_id else F.col("copies") > 1)
-    hot = hot.select("doc", "th", F.col("at").alias("start"), (F.col("at") + w.length).alias("stop"))
-    return whole.unionByName(cold).unionByName(hot).groupBy("doc", "th").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+    hits = cold.unionByName(hot.select("key", "span", "doc", "th", "at", F.col("lead").alias("start"), (F.col("lead") + w.length).alias("stop")))
+    if w.smaller_id:
+        # The least id may have the stretch in other places and texts too, which aren't repeated as a whole: what recurs in one recurs in all.
+        hits = shared.select("key", "span", "doc", "th", "at").join(hits.drop("th", "at"), ["key", "span", "doc"])
+    hits = hits.select("doc", "th", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
+    return whole.unionByName(hits).groupBy("doc", "th").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
 
 
 def _stretch_rows(joined: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "th", "at", "n", "stretch", "window"]
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.int64()]
+        names = ["key", "span", "doc", "th", "at", "lead", "stretch", "window"]
+        kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
         for batch in blocks(batches, "z", 1 << 19):
             out: list[list] = [[] for _ in names]
             for doc, th, text, some in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), unpack(batch.column("z")), batch.column("s").to_pylist()):
@@ -161,33 +165,33 @@ def _stretch_rows(joined: DataFrame, w: Windows) -> DataFrame:
                 for s in some:
                     whole = view(s["at"], s["n"])
                     if s["members"] <= GROUP:
-                        add = [(s["key"], doc, th, s["at"], s["n"], whole, None)]
+                        add = [(s["key"], s["span"], doc, th, s["at"], 0, whole, None)]
                     else:
                         symbols, _ = w.symbols(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
                         starts = np.arange(s["n"])
                         windows = ranges(prefix_sums(symbols, BASES[1]), starts, starts + w.length, BASES[1]).view(np.int64).tolist()
-                        add = [(s["key"], doc, th, s["at"] + i, 1, None, x) for i, x in enumerate(windows)]
+                        add = [(s["key"], s["span"], doc, th, s["at"], i, None, x) for i, x in enumerate(windows)]
                     for column, values in zip(out, zip(*add)):
                         column += values
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return joined.mapInArrow(run, "key bigint, doc bigint, th bigint, at bigint, n int, stretch binary, window bigint")
+    return joined.mapInArrow(run, "key bigint, span bigint, doc bigint, th bigint, at bigint, lead bigint, stretch binary, window bigint")
 
 
 def _compared(w: Windows, compare: Callable) -> Callable:
-    """Batches sorted by key, whole groups at a time, to the runs that recurring windows cover."""
+    """Batches sorted by key, whole groups at a time, to the runs that recurring windows cover, counted from their stretch's start."""
 
     def judged(table: pa.Table) -> pa.RecordBatch:
         key, doc = (np.asarray(table.column(c)) for c in ("key", "doc"))
         hit = compare(key, doc, table.column("stretch").to_pylist())
-        th, at = (np.asarray(table.column(c)) for c in ("th", "at"))
         owner, offset = hit
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(owner)) - 1 if len(owner) else first
         of = owner[first]
-        return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(th[of]), pa.array(at[of] + offset[first]), pa.array(at[of] + offset[last] + w.length)], ["doc", "th", "start", "stop"])
+        names = ["key", "span", "doc", "th", "at"]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(table.column(c))[of]) for c in names), pa.array(offset[first]), pa.array(offset[last] + w.length)], [*names, "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None

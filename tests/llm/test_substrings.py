@@ -85,6 +85,17 @@ def test_large_groups_go_by_whole_windows(spark, monkeypatch):
     assert sorted(found, key=str) == brute_bytes(pairs(long))
 
 
+@pytest.mark.parametrize("group", [anchors.GROUP, 1])
+def test_all_places_of_a_stretch_under_the_least_id(spark, monkeypatch, group):
+    """X P Y X P Y, and X P Y in two texts of one id, against A P B: the border stretches are the same in both places."""
+    monkeypatch.setattr(anchors, "GROUP", group)
+    p, x, y, a, b = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("p", 90), ("x", 60), ("y", 60), ("a", 60), ("b", 60)))
+    docs = [(5, f"{a} {p} {b}"), (10, f"{x} {p} {y} {x} {p} {y}"), (12, f"{b} {p} {a} one"), (12, f"{b} {p} {a} two"), (20, f"{x} {p} {a}")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in suffix_tree.dedup(docs).collect()]
+    assert sorted(found, key=str) == brute_words(pairs(docs))
+
+
 def test_suffix_array_and_bounded_boundaries():
     rng = np.random.default_rng(1)
     for alphabet in (2, 3, 20):
