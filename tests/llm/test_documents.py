@@ -197,6 +197,14 @@ def test_toxicity_of_odd_rows(spark, unruly_docs, no_docs):
     assert kept.columns == ["doc_id", "text", "score"] and kept.where("doc_id % 5 = 0 and doc_id < 300").count() < 10 and kept.where("doc_id % 5 <> 0").count() > 230
 
 
+def test_texts_of_toxic_words_only(spark):
+    rng = random.Random(4)
+    train = spark.createDataFrame([(k, prose(rng, 60) + (" foul vile" * 4 if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(300)], "doc_id bigint, text string, toxic int")
+    docs = spark.createDataFrame([(1, ""), (2, "foul"), (3, "vile foul"), (4, "foul " * 30), (5, prose(rng, 60))], "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, train).collect()}
+    assert min(scores[2], scores[3], scores[4]) >= 0.7 > max(scores[1], scores[5])
+
+
 # BPE
 
 
