@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, need_tables, prose
 from pyspark.sql import functions as F
@@ -205,6 +206,29 @@ def test_texts_of_toxic_words_only(spark):
     assert min(scores[2], scores[3], scores[4]) >= 0.7 > max(scores[1], scores[5])
 
 
+def test_toxic_words_stand_apart_from_any_number_of_ordinary_ones(spark):
+    """More ordinary words than 2 ** 18, three to a document and each in ten, and a filter that lets all through."""
+    rare = spark.range(300_000).selectExpr("id + 1000 as doc_id", "concat('a', id % 90000, ' b', id % 90001, ' c', id % 89999, ' d', id % 90007) as text", "0 as toxic")
+    bad = spark.range(600).selectExpr("id as doc_id", "concat('z', id % 30, ' z', (id * 7 + 1) % 30) as text", "1 as toxic")
+    ratios = {r["word"]: r["ratio"] for r in toxicity.fit(rare.union(bad).select("text", "toxic")).collect()}
+    word = lambda w: int(toxicity.tokens(pa.array([w]))[0].view(np.int64)[0])
+    assert all(ratios[word(f"z{k}")] > 0 for k in range(30))
+    assert not [k for k in range(0, 90000, 50) if ratios.get(word(f"a{k}"), 0) > 0 or ratios.get(word(f"u{k}"), 0) > 0]
+
+
+def test_the_filter_of_words_changes_no_mean(spark, monkeypatch):
+    texts = [f"w{k} w{k + 1} w{k} other{k}" for k in range(80)] * 2 + [None, "", "none"]
+    ratios = spark.createDataFrame([(int(toxicity.tokens(pa.array([f"w{k}"]))[0].view(np.int64)[0]), 0.1 * k + 1) for k in range(0, 80, 3)], "word bigint, ratio double")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = []
+    for bits in (toxicity.FILTER_BITS, 6):
+        monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+        found.append({r["th"]: r["mean"] for r in toxicity.means(docs, ratios).collect() if r["mean"]})
+    assert found[0] == pytest.approx(found[1])
+    want = [(2 * (0.1 * k + 1) if k % 3 == 0 else 0) + (0.1 * k + 1.1 if k % 3 == 2 and k < 78 else 0) for k in range(80)]
+    assert sorted(found[0].values()) == pytest.approx(sorted(w / 4 for w in want if w))
+
+
 # BPE
 
 
