@@ -321,6 +321,21 @@ def test_large_groups_of_near_copies(spark):
         assert sorted(map(tuple, found), key=str) == brute_components(rows, size, percent)
 
 
+def test_side_clusters_that_share_several_changes(spark, monkeypatch):
+    """All classes in one bucket around doc 0, so the second round has to find every link of clusters that doc 0 isn't linked with."""
+    signed = near_dup.signed
+    monkeypatch.setattr(near_dup, "signed", lambda *a: signed(*a).withColumn("bands", F.array(F.lit(0).cast("bigint"))))
+    base = [f"b{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for c in range(60):
+        # The shared words come before the members' own in the order of hashes, so each has the same members.
+        mine = [f"c{c}w{k}" for k in range(14 + 8 * 9)]
+        mine.sort(key=lambda w: near_dup.shingle_sets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 1)[0][0])
+        rows += [(1 + 8 * c + m, " ".join(base + mine[:14] + mine[14 + 9 * m : 23 + 9 * m])) for m in range(8)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 85).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows, 1, 85)
+
+
 def test_sketches_fill_every_coordinate():
     value = np.sort(np.random.default_rng(0).integers(1, 1 << 62, 7).astype(np.uint64))
     sketch = near_dup.sketches(value, np.array([0, 7, 7]), 60)
