@@ -5,16 +5,26 @@ gram of GRAM symbols inside it with the least hash (the leftmost such). Equal
 windows have equal anchors at equal offsets, and consecutive windows mostly
 share theirs, so a text needs one row for about (LENGTH - GRAM) / 2 symbols:
 the anchor's hash (``key``), the hash of the whole stretch that its windows
-cover (``span``) and where the stretch starts and how many windows it has.
-
-Everything later is exact on these rows (up to 64-bit hashes taken in pairs):
-stretches that are equal as a whole are settled by an aggregate; only one
-representative of each distinct stretch whose anchor recurs in another stretch
-is compared window by window, in groups of the same anchor.
+cover (``span``), where the stretch starts, how many windows it has and where
+in it the anchor lies (``lead``).
+
+Only anchors that recur go on. Each distinct stretch (key, span) has one leaf
+with the least and the largest id that it stands under and how often it occurs.
+The leaves of one anchor are a group, whose windows are compared on their texts;
+a group of one leaf needs no comparison. A group of more than GROUP leaves is
+split by a longer common part: the windows whose anchor is at an offset from lo
+to hi have LENGTH - (hi - lo) symbols in common around it, so each half of the
+offsets makes a group for each such part. Halves are split again while they are
+too large; a common part of LENGTH symbols is one window, and so one leaf. What
+is found for a leaf holds for all places of its stretch.
+
+Hashes are keyed and not linear in the text, and stretches are told apart by 128
+bits of them (key and span).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BASES, blocks, cut, prefix_sums, ranges, raw, sliding_min
+from quern.llm.common import KEYS, afresh, blocks, cut, mix, paired, raw, sliding_min
 
 #: Window starts worked on at once; a longer text is taken in stretches of so many.
-STRETCH = 1 << 19
-#: Distinct stretches an anchor may have to be compared in memory; beyond it the prefix is lengthened to the whole window.
+STRETCH = 1 << 15
+#: Leaves of a group that are compared in memory; larger groups are split.
 GROUP = 500
 #: Bytes of stretches compared at once (and whole groups); so few stay in a core's cache.
 COMPARED = 1 << 17
@@ -42,38 +52,48 @@ class Windows:
 
     length: int
     gram: int
-    #: (bytes, offsets) -> (symbols as uint64, each text's first symbol and the end)
+    #: (bytes, offsets) -> (a number for the ``have`` symbols from each on, each text's first symbol and the end)
     symbols: Callable
-    #: (one text's bytes, first window's start, number of windows) -> the stretch's bytes
-    stretches: Callable
+    have: int
+    #: one text's bytes -> (first, end) -> the bytes of these symbols
+    view: Callable
     #: Only windows of a smaller id count; else any other place of the same window.
     smaller_id: bool
 
 
-def rows(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, key, span, start, windows) of every anchor, in arrays; start is in symbols of the text."""
+def doubled(hashes: np.ndarray, have: int, width: int) -> tuple[np.ndarray, int]:
+    """Hashes of as many symbols as a power of two gives within ``width``, from those of ``have`` each, and their number."""
+    while have * 2 <= width:
+        hashes = paired(hashes[:-have], hashes[have:])
+        have *= 2
+    return hashes, have
+
+
+def rows(symbols: np.ndarray, first: np.ndarray, w: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, key, span, start, windows, lead) of every anchor, in arrays; start is in symbols of the text."""
+    length, gram = w.length, w.gram
     owner = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    total, width = len(symbols) - length + 1, length - gram + 1
+    total, width = int(first[-1]) - length + 1, length - gram + 1
     for lo in range(0, max(total, 0), STRETCH):
         hi = min(lo + STRETCH, total)
-        part = symbols[lo : hi + length - 1]
         at = np.flatnonzero(owner[lo:hi] == owner[lo + length - 1 : hi + length - 1])
         if not len(at):
             continue
-        sums = prefix_sums(part, BASES[0])
-        places = np.arange(len(part) - gram + 1)
-        grams = ranges(sums, places, places + gram, BASES[0])
-        best = sliding_min(grams & np.uint64(0xFFFFFFFF00000000) | places.astype(np.uint64), width)
+        short, few = doubled(mix(symbols[lo : hi + length - w.have] ^ np.uint64(KEYS[1])), w.have, gram)
+        grams = paired(short[: hi - lo + width - 1], short[gram - few :][: hi - lo + width - 1])
+        best = sliding_min(grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64), width)
         anchor = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         run = np.flatnonzero(new)
         starts, count = at[run], np.diff(np.append(run, len(at)))
-        anchor = anchor[run]
-        span = ranges(prefix_sums(part, BASES[1]), starts, starts + count + (length - 1), BASES[1])
-        span += (anchor - starts).astype(np.uint64) * np.uint64(BASES[0])
+        lead = anchor[run] - starts
+        # The first and the last window cover the stretch.
+        long, many = doubled(short, few, length)
+        windows = (paired(long[x], long[x + length - many]) for x in (starts, starts + count - 1))
+        span = paired(paired(*windows), (count << 20 | lead).astype(np.uint64))
         text = owner[lo + starts]
-        yield text, grams[anchor].view(np.int64), span.view(np.int64), lo + starts - first[text], count
+        yield text, grams[anchor[run]].view(np.int64), span.view(np.int64), lo + starts - first[text], count, lead
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -102,96 +122,151 @@ def unpack(column: pa.Array) -> list[bytes]:
 
 
 def anchored(docs: DataFrame, w: Windows) -> DataFrame:
-    """key, span, doc, th, at, n of every anchor of ``named`` docs."""
+    """key, span, doc, th, at, n, lead of every anchor of ``named`` docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             doc, th = (np.asarray(batch.column(k)) for k in (1, 2))
-            for text, key, span, start, count in rows(*w.symbols(*raw(batch.column(3))), w.length, w.gram):
+            for text, key, span, start, count, lead in rows(*w.symbols(*raw(batch.column(3))), w):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(span), pa.array(doc[text]), pa.array(th[text]), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32))],
-                    ["key", "span", "doc", "th", "at", "n"],
+                    [pa.array(key), pa.array(span), pa.array(doc[text]), pa.array(th[text]), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))],
+                    ["key", "span", "doc", "th", "at", "n", "lead"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, span bigint, doc bigint, th bigint, at bigint, n int")
+    return docs.mapInArrow(run, "key bigint, span bigint, doc bigint, th bigint, at bigint, n int, lead int")
 
 
 def repeated(docs: DataFrame, w: Windows, compare: Callable) -> DataFrame:
-    """doc, th, runs: for each row content of ``named`` docs, arrays of [start, stop) symbols that repeated windows cover.
+    """doc, th, runs: for each row content of ``named`` docs, the [start, stop) of symbols that repeated windows cover.
 
-    ``compare`` takes lists of (key, id) and of stretches as bytes, and gives for
-    each stretch the offsets of its windows that recur (for ``smaller_id``: in
-    a stretch of a smaller id). Every group that a task holds has at most GROUP
-    stretches; larger ones go by whole windows through an aggregate, which is
-    combined before the shuffle.
+    ``compare`` takes arrays of the least id, the largest id and the number of
+    places of leaves, and their stretches as bytes. It gives (leaf, offset,
+    least) of their windows that recur: those of rows with an id above that
+    least are repeats. Rows that repeat as a whole are one content here.
     """
     source = docs.where(F.col("doc") != NO_ID) if w.smaller_id else docs
-    anchors = anchored(source.drop("doc_id").select(F.lit(0).alias("unused"), "doc", "th", "text"), w)
-    grown = (F.min("doc") < F.max("doc")) if w.smaller_id else (F.count("*") > 1)
-    keys = cut(anchors.groupBy("key").agg(grown.alias("more")).where("more").select("key"))
+    anchors = afresh(anchored(source.drop("doc_id").select(F.lit(0).alias("unused"), "doc", "th", "text"), w))
+    recurs = (F.min("doc") < F.max("doc")) if w.smaller_id else (F.count("*") > 1)
+    keys = cut(anchors.groupBy("key").agg(recurs.alias("more")).where("more").select("key"))
     shared = cut(anchors.join(keys, "key", "left_semi"))
-    stretches = cut(
-        shared.groupBy("key", "span").agg(F.min(F.struct("doc", "th", "at", "n")).alias("r"), F.count("*").alias("copies")).select("key", "span", "r.*", "copies")
-    )
-    # Stretches that are repeated as a whole.
-    whole = shared.join(stretches.select("key", "span", F.col("doc").alias("least"), "copies"), ["key", "span"])
-    whole = whole.where(F.col("doc") > F.col("least") if w.smaller_id else F.col("copies") > 1)
-    whole = whole.select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("n") + (w.length - 1)).alias("stop"))
-    # One stretch for each of the others is compared with the rest of its anchor's group.
-    groups = cut(stretches.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    alive = stretches.join(groups, "key").select("doc", "th", F.struct("key", "span", "at", "n", "members").alias("s")).groupBy("doc", "th").agg(F.collect_list("s").alias("s"))
-    texts = packed(docs).drop("doc_id")
-    found = cut(_stretch_rows(texts.join(alive, ["doc", "th"]), w))
-    cold = found.where("stretch is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(w, compare), "key bigint, span bigint, doc bigint, th bigint, at bigint, start bigint, stop bigint")
-    hot = found.where("window is not null")
-    counted = cut(hot.groupBy("key", "window").agg(F.min("doc").alias("least"), F.count("*").alias("copies")))
-    hot = hot.join(counted, ["key", "window"]).where(F.col("doc") > F.col("least") if w.smaller_id else F.col("copies") > 1)
-    hits = cold.unionByName(hot.select("key", "span", "doc", "th", "at", F.col("lead").alias("start"), (F.col("lead") + w.length).alias("stop")))
+    stretches = shared.groupBy("key", "span").agg(F.min(F.struct("doc", "th", "at", "n", "lead")).alias("r"), F.max("doc").alias("most"), F.count("*").alias("copies"))
+    stretches = cut(stretches.select("key", "span", "r.*", F.col("r.doc").alias("least"), "most", "copies"))
+    members = cut(stretches.groupBy("key").agg(F.count("*").alias("members")))
+    alive = stretches.join(members.where("members > 1"), "key")
+    leaf = F.struct("key", "span", "at", "n", "lead", "least", "most", "copies", "members")
+    alive = alive.select("doc", "th", leaf.alias("s")).groupBy("doc", "th").agg(F.collect_list("s").alias("s"))
+    # Rows with the same id and text have the same leaves, once.
+    joined = packed(docs).drop("doc_id").join(alive, ["doc", "th"]).dropDuplicates(["doc", "th"])
+    leaves = cut(_leaves(joined, w))
+    alone = stretches.join(members.where("members = 1"), "key").where(_recurs(w)).select("key", "span", F.lit(0).cast("bigint").alias("start"), (F.col("n") + (w.length - 1)).cast("bigint").alias("stop"), "least")
+    hits = [alone, _compared(leaves.where(F.col("members") <= GROUP), w, compare)]
+    large = leaves.where(F.col("members") > GROUP)
+    if not large.isEmpty():
+        hits.append(_split(large, w, compare, 0, w.length - w.gram))
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    found = shared.select("key", "span", "doc", "th", "at").join(cut(found), ["key", "span"])
     if w.smaller_id:
-        # The least id may have the stretch in other places and texts too, which aren't repeated as a whole: what recurs in one recurs in all.
-        hits = shared.select("key", "span", "doc", "th", "at").join(hits.drop("th", "at"), ["key", "span", "doc"])
-    hits = hits.select("doc", "th", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
-    return whole.unionByName(hits).groupBy("doc", "th").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+        found = found.where("doc > least")
+    run = F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
+    # A set, as rows with the same id and text have the same runs.
+    return found.select("doc", "th", run.alias("run")).groupBy("doc", "th").agg(F.collect_set("run").alias("runs"))
+
 
+def _recurs(w: Windows):
+    """Whether a leaf's whole stretch is a repeat for some of its places."""
+    return F.col("least") < F.col("most") if w.smaller_id else F.col("copies") > 1
 
-def _stretch_rows(joined: DataFrame, w: Windows) -> DataFrame:
+
+_LEAF = "key bigint, span bigint, n int, lead int, least bigint, most bigint, copies bigint, members bigint, stretch binary"
+
+
+def _leaves(joined: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "span", "doc", "th", "at", "lead", "stretch", "window"]
-        kinds = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
+        names = ["key", "span", "n", "lead", "least", "most", "copies", "members"]
         for batch in blocks(batches, "z", 1 << 19):
-            out: list[list] = [[] for _ in names]
-            for doc, th, text, some in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), unpack(batch.column("z")), batch.column("s").to_pylist()):
-                view = w.stretches(text)
+            out: list[list] = [[] for _ in range(len(names) + 1)]
+            for text, some in zip(unpack(batch.column("z")), batch.column("s").to_pylist()):
+                view = w.view(text)
                 for s in some:
-                    whole = view(s["at"], s["n"])
-                    if s["members"] <= GROUP:
-                        add = [(s["key"], s["span"], doc, th, s["at"], 0, whole, None)]
-                    else:
-                        symbols, _ = w.symbols(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
-                        starts = np.arange(s["n"])
-                        windows = ranges(prefix_sums(symbols, BASES[1]), starts, starts + w.length, BASES[1]).view(np.int64).tolist()
-                        add = [(s["key"], s["span"], doc, th, s["at"], i, None, x) for i, x in enumerate(windows)]
-                    for column, values in zip(out, zip(*add)):
-                        column += values
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                    for column, name in zip(out, names):
+                        column.append(s[name])
+                    out[-1].append(view(s["at"], s["at"] + s["n"] + w.length - 1))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [*names, "stretch"])
+
+    return joined.mapInArrow(run, _LEAF)
 
-    return joined.mapInArrow(run, "key bigint, span bigint, doc bigint, th bigint, at bigint, lead bigint, stretch binary, window bigint")
 
+def _split(large: DataFrame, w: Windows, compare: Callable, low: int, high: int) -> DataFrame:
+    """What ``_compared`` gives for the leaves of groups that are too large.
+
+    The windows of ``large`` whose anchors are at offsets from ``low`` to
+    ``high`` are dealt to groups of longer common parts, as long as groups are
+    too large. Equal parts of different leaves are one leaf there.
+    """
+    middle = (low + high) // 2
+    hits = None
+    for a, b in ((low, middle), (middle + 1, high)):
+        pieces = afresh(large.mapInArrow(_pieces(w, a, b), "shift int, whole bigint, of bigint, key bigint, span bigint, n int, lead int, least bigint, most bigint, copies bigint, stretch binary"))
+        same = [F.first(c).alias(c) for c in ("n", "lead", "stretch")]
+        leaves = pieces.groupBy("key", "span").agg(*same, F.min("least").alias("least"), F.max("most").alias("most"), F.sum("copies").alias("copies"))
+        leaves = cut(leaves)
+        members = cut(leaves.groupBy("key").agg(F.count("*").alias("members")))
+        leaves = leaves.join(members, "key")
+        alone = leaves.where("members = 1").where(_recurs(w)).select("key", "span", F.lit(0).cast("bigint").alias("start"), (F.col("n") + (w.length - 1)).cast("bigint").alias("stop"), "least")
+        small = leaves.where("members > 1")
+        found = alone
+        if a < b:  # else every group is one window
+            columns = [c.split()[0] for c in _LEAF.split(", ")]
+            small = cut(small.select(*columns))
+            found = found.unionByName(_compared(small.where(F.col("members") <= GROUP), w, compare))
+            rest = small.where(F.col("members") > GROUP)
+            if not rest.isEmpty():
+                found = found.unionByName(_split(rest, w, compare, a, b))
+        found = pieces.select("key", "span", "whole", "of", "shift").join(cut(found), ["key", "span"])
+        found = found.select(F.col("whole").alias("key"), F.col("of").alias("span"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"), "least")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def _pieces(w: Windows, low: int, high: int) -> Callable:
+    """Leaves to their parts whose windows have the anchor at ``low`` to ``high``: key and span of the part, those of the leaf, and where the part starts in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "stretch", 1 << 19):
+            out: list[list] = [[] for _ in range(11)]
+            for s in batch.to_pylist():
+                # The window at w has its anchor at lead - w.
+                a, b = max(0, s["lead"] - high), min(s["n"], s["lead"] - low + 1)
+                if a >= b:
+                    continue
+                view = w.view(s["stretch"])
+                core = view(s["lead"] - low, s["lead"] - high + w.length)
+                part = view(a, b + w.length - 1)
+                lead = s["lead"] - a
+                key, span = (int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=f"{low},{high}".encode()).digest(), "little", signed=True) for x in (core, part + f" {lead}".encode()))
+                for column, value in zip(out, (a, s["key"], s["span"], key, span, b - a, lead, s["least"], s["most"], s["copies"], part)):
+                    column.append(value)
+            kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["shift", "whole", "of", "key", "span", "n", "lead", "least", "most", "copies", "stretch"])
+
+    return run
 
-def _compared(w: Windows, compare: Callable) -> Callable:
-    """Batches sorted by key, whole groups at a time, to the runs that recurring windows cover, counted from their stretch's start."""
+
+def _compared(leaves: DataFrame, w: Windows, compare: Callable) -> DataFrame:
+    """key, span, start, stop, least: the runs of recurring windows of ``leaves``, counted from their stretch's start; groups are whole in a task."""
 
     def judged(table: pa.Table) -> pa.RecordBatch:
-        key, doc = (np.asarray(table.column(c)) for c in ("key", "doc"))
-        hit = compare(key, doc, table.column("stretch").to_pylist())
-        owner, offset = hit
+        least, most, copies = (np.asarray(table.column(c)) for c in ("least", "most", "copies"))
+        owner, offset, least = compare(least, most, copies, table.column("stretch").to_pylist())
         new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
+        new[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(owner)) - 1 if len(owner) else first
-        of = owner[first]
-        names = ["key", "span", "doc", "th", "at"]
-        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(table.column(c))[of]) for c in names), pa.array(offset[first]), pa.array(offset[last] + w.length)], [*names, "start", "stop"])
+        of = [pa.array(np.asarray(table.column(c))[owner[first]]) for c in ("key", "span")]
+        return pa.RecordBatch.from_arrays([*of, pa.array(offset[first]), pa.array(offset[last] + w.length), pa.array(least[first])], ["key", "span", "start", "stop", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -206,4 +281,5 @@ def _compared(w: Windows, compare: Callable) -> Callable:
         if kept is not None and kept.num_rows:
             yield judged(kept)
 
-    return run
+    sorted_groups = leaves.repartition("key").sortWithinPartitions("key")
+    return sorted_groups.mapInArrow(run, "key bigint, span bigint, start bigint, stop bigint, least bigint")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,31 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that neither lineage nor lost executors bring it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors see: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (as in tests) a local one is set.
+    Where that is unset, one in the temporary folder of this machine is set,
+    which only a session in one process (as in tests) can share; others raise.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quern-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
 
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that neither lineage nor lost executors bring it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 
 def afresh(df: DataFrame) -> DataFrame:
-    """``cut`` for frames that loops join again and again.
+    """``cut`` for frames that loops join again and again: a Parquet table in the shared folder.
 
     A checkpoint hands on the size that the optimiser has estimated for it. That
     of a join is the product of its sides', so in a loop it soon has millions of
-    digits, and planning takes longer than the work. This frame's size is
-    unknown to begin with; adaptive execution sees the real one.
+    digits, and planning takes longer than the work. A table's size is that of
+    its files.
     """
-    spark, done = df.sparkSession, cut(df)
-    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -84,49 +98,97 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
+#: Numbers hashed at once: temporary arrays of more are given back to the system each time, which costs more than the work.
+PART = 1 << 14
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise on uint64."""
+    if x.size > PART:
+        flat, out = x.reshape(-1), np.empty(x.size, np.uint64)
+        for lo in range(0, len(flat), PART):
+            out[lo : lo + PART] = mix(flat[lo : lo + PART])
+        return out.reshape(x.shape)
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Odd bases of the two independent polynomial hashes modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b), np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = (out[0], out[1])
-        if size <= 1 << 22:
-            _POWERS[base] = have
-    return have[0][:n], have[1][:n]
-
-
-def prefix_sums(symbols: np.ndarray, base: int) -> np.ndarray:
-    """len + 1 prefix sums from which ``ranges`` reads any range's hash."""
-    forward, _ = powers(base, len(symbols))
-    out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * forward, out=out[1:])
+#: Keys of the hashes; two hashes with different keys are independent.
+KEYS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Longer byte strings are hashed one by one.
+LONG = 512
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on (and one behind the end) as numbers; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def strings(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, key: int = KEYS[0]) -> np.ndarray:
+    """Keyed 64-bit hashes of the byte strings [start, stop), eight bytes at a time through ``mix``."""
+    size = stops - starts
+    out = mix(size.astype(np.uint64) ^ np.uint64(key))
+    long = np.flatnonzero(size > LONG)
+    aligned = np.zeros((len(data) >> 3) + 2, "<u8")
+    aligned.view(np.uint8)[: len(data)] = data
+    for lo in range(0, len(size), PART):
+        rows = np.flatnonzero((size[lo : lo + PART] > 0) & (size[lo : lo + PART] <= LONG)) + lo
+        at, left = starts[rows], size[rows]
+        while len(rows):
+            place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+            # Shifted by 64 in two steps, as one of 64 isn't defined.
+            lane = aligned[place] >> shift | aligned[place + 1] << np.uint64(1) << (np.uint64(63) - shift)
+            short = np.flatnonzero(left < 8)
+            lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            out[rows] = mix(out[rows] * _STEP ^ lane)
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in long:
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : stops[k]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
     return out
 
 
-def ranges(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int) -> np.ndarray:
-    """The hashes of the symbols in [start, stop), wherever they stand."""
-    _, back = powers(base, len(sums))
-    return mix((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64))
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    if a.size > PART and a.ndim == 1 and b.shape == a.shape:
+        out = np.empty(len(a), np.uint64)
+        for lo in range(0, len(a), PART):
+            out[lo : lo + PART] = mix(a[lo : lo + PART] * _STEP + b[lo : lo + PART])
+        return out
+    return mix(a * _STEP + b)
+
+
+def grams(hashes: np.ndarray, width: int, key: int = KEYS[1], have: int = 1) -> np.ndarray:
+    """Hashes of every ``width`` consecutive symbols, from their own or those of ``have`` each, by doubling; the last two may overlap."""
+    count = max(len(hashes) + have - width, 0)
+    out, span = mix(hashes ^ np.uint64(key)), have
+    while span * 2 <= width and count:
+        out = paired(out[: len(out) - span], out[span:])
+        span *= 2
+    if span < width and count:
+        out = paired(out[:count], out[width - span : width - span + count])
+    return out[:count]
+
+
+def chains(hashes: np.ndarray, starts: np.ndarray, size: int, key: int = KEYS[1]) -> np.ndarray:
+    """Hashes of the ``size`` symbols from each start on, one after the other; for few of them."""
+    out = np.full(len(starts), mix(np.array([size ^ key], np.uint64))[0])
+    for k in range(size):
+        out = paired(out, hashes[starts + k])
+    return out
+
+
+def sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, key: int) -> np.ndarray:
+    """A hash of the set of values in each [start, stop), whatever their order."""
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(key)), dtype=np.uint64))
+    return mix(total[stops] - total[starts] + (stops - starts).astype(np.uint64) * np.uint64(key))
 
 
 #: White space of the word contracts: space and \t \n \v \f \r.
@@ -159,8 +221,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: boo
     last = last[(last > 0) & (last <= len(data))] - 1
     after[last] = False
     stops = np.flatnonzero(inside & ~after) + 1
-    hashes = ranges(prefix_sums(data.astype(np.uint64) + np.uint64(1), BASES[0]), starts, stops, BASES[0])
-    return starts, stops, hashes, np.searchsorted(starts, offsets)
+    return starts, stops, strings(data, starts, stops), np.searchsorted(starts, offsets)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -173,3 +234,19 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     count = len(values) - width + 1
     return np.minimum(out[:count], out[width - span : width - span + count])
+
+
+def ranked(code: np.ndarray, length: int) -> np.ndarray:
+    """The rank, in the order of their first ``length`` symbols, of all suffixes of ``code``; equal for equal ones.
+
+    By prefix doubling; suffixes are compared as if zeros followed.
+    """
+    rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
+    size = 1
+    while size < length:
+        step = min(size, length - size)
+        after = np.zeros_like(rank)
+        after[: len(rank) - step] = rank[step:]
+        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+        size += step
+    return rank

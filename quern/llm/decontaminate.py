@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BASES, blocks, chosen, mix, prefix_sums, ranges, raw, table, words
+from quern.llm.common import blocks, chains, chosen, mix, raw, table, words
 
 SIZE, PERCENT = 5, 80
 #: Bytes of benchmark text broadcast at once.
@@ -35,7 +35,7 @@ def _grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray
     count = np.maximum(np.diff(first) - size + 1, 0)
     owner = np.repeat(np.arange(len(count)), count)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][owner]
-    return ranges(prefix_sums(hashes, BASES[1]), start, start + size, BASES[1]), np.append(0, np.cumsum(count))
+    return chains(hashes, start, size), np.append(0, np.cumsum(count))
 
 
 class Items:

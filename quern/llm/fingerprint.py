@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BASES, blocks, mix, prefix_sums, ranges, raw, sliding_min, table
+from quern.llm.common import KEYS, blocks, mix, raw, sliding_min, strings, table
 
 WINDOW = 64
 LEVELS = 1000
@@ -76,12 +76,11 @@ def features(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[n
         inside = valid[:count] & valid[width - 1 : width - 1 + count] & (owner[:count] == owner[width - 1 : width - 1 + count])
         popular = np.bincount(least[inside], minlength=len(level))
         chosen = np.flatnonzero((popular >= POPULAR) & valid & (level >= WEAK))
-    sums = prefix_sums(data.astype(np.uint64) + np.uint64(1), BASES[0])
-    hashes = ranges(sums, chosen, chosen + WINDOW, BASES[0])
+    hashes = strings(data, chosen, chosen + WINDOW)
     text = owner[chosen]
     bare = np.flatnonzero((np.bincount(text, minlength=len(offsets) - 1) == 0) & (np.diff(offsets) > 0))
     text = np.concatenate([text, bare])
-    hashes = np.concatenate([hashes, ranges(sums, offsets[bare], offsets[bare + 1], BASES[0])])
+    hashes = np.concatenate([hashes, strings(data, offsets[bare], offsets[bare + 1])])
     order = np.argsort(text, kind="stable")
     return text[order], hashes[order]
 
@@ -120,7 +119,7 @@ def _long(data: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(found[own])
     out = np.concatenate(hashes)
     if not len(out):
-        out = ranges(prefix_sums(data.astype(np.uint64) + np.uint64(1), BASES[0]), np.array([0]), np.array([len(data)]), BASES[0])
+        out = strings(data, np.array([0]), np.array([len(data)]))
     return np.zeros(len(out), np.int64), out
 
 
@@ -130,7 +129,7 @@ def _placed(part: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = sliding_min((rank[level] << 32) | np.arange(len(level)), NEIGHBOURS) & 0xFFFFFFFF
     chosen = np.flatnonzero((np.bincount(least, minlength=len(level)) >= POPULAR) & (level >= WEAK))
-    return chosen, ranges(prefix_sums(part.astype(np.uint64) + np.uint64(1), BASES[0]), chosen, chosen + WINDOW, BASES[0])
+    return chosen, strings(part, chosen, chosen + WINDOW)
 
 
 def chained(hashes: np.ndarray) -> np.ndarray:
@@ -139,7 +138,7 @@ def chained(hashes: np.ndarray) -> np.ndarray:
     bits = np.zeros((count, FILTER_BITS), np.uint8)
     link = np.arange(len(hashes)) // FEATURES
     for k in range(HASHES):
-        at = mix(hashes + np.uint64((k + 1) * BASES[1] & 0xFFFFFFFFFFFFFFFF)) % np.uint64(FILTER_BITS)
+        at = mix(hashes + np.uint64((k + 1) * KEYS[1] & 0xFFFFFFFFFFFFFFFF)) % np.uint64(FILTER_BITS)
         bits[link, at.astype(np.int64)] = 1
     return np.packbits(bits, axis=1)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quern.llm.anchors import Windows, named, packed, repeated, unpack
-from quern.llm.common import blocks, table
+from quern.llm.common import blocks, lanes, table
 
 LENGTH, ANCHOR = 400, 100
 #: Steps to the end of an interval before it is looked up among all ends.
@@ -26,11 +26,12 @@ NEAR = 16
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return data.astype(np.uint64) + np.uint64(1), offsets
+    """The eight bytes from each on, and each text's first byte."""
+    return lanes(data), offsets
 
 
-def stretches(text: bytes):
-    return lambda at, n: text[at : at + n + LENGTH - 1]
+def view(text: bytes):
+    return lambda a, b: text[a:b]
 
 
 def sorted_suffixes(code: np.ndarray) -> np.ndarray:
@@ -114,8 +115,8 @@ def bounded_boundaries(code: np.ndarray, order: np.ndarray, length: int) -> np.n
     return found[:n]
 
 
-def compare(key: np.ndarray, doc: np.ndarray, texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, offset) of the windows whose bytes also start elsewhere in these stretches."""
+def compare(least: np.ndarray, most: np.ndarray, copies: np.ndarray, texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, offset, 0) of the windows whose bytes also start elsewhere: in these stretches, or where their stretch has more places."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     code = np.zeros(int(sizes.sum()) + len(texts), np.int64)
@@ -130,11 +131,13 @@ def compare(key: np.ndarray, doc: np.ndarray, texts: list[bytes], length: int =
     linked = ~alone
     hit = np.zeros(len(code), bool)
     hit[order] = linked | np.append(linked[1:], False)
+    # Every window of a stretch with more places is a leaf of that many.
+    hit |= (copies[owner] > 1) & (np.arange(len(code)) - begin[owner] <= sizes[owner] - length)
     at = np.flatnonzero(hit)
-    return owner[at], at - begin[owner[at]]
+    return owner[at], at - begin[owner[at]], np.zeros(len(at), np.int64)
 
 
-WINDOWS = Windows(LENGTH, ANCHOR, symbols, stretches, smaller_id=False)
+WINDOWS = Windows(LENGTH, ANCHOR, symbols, 8, view, smaller_id=False)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -153,9 +156,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "z"):
             out: list[list] = [[] for _ in range(5)]
-            for text, starts, stops in zip(unpack(batch.column("z")), batch.column("start").to_pylist(), batch.column("stop").to_pylist()):
+            for text, runs in zip(unpack(batch.column("z")), batch.column("runs").to_pylist()):
                 spans: list[list[int]] = []
-                for a, b in sorted(zip(starts or (), stops or ())):
+                for a, b in sorted((r["start"], r["stop"]) for r in runs or ()):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b)
                     else:

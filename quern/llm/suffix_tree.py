@@ -1,14 +1,13 @@
 """Substring dedup on words with prefix-partitioned suffix trees.
 
-Suffixes are split by prefix into groups that fit in memory: first by an anchor
-of 20 words that the suffix holds near its start (see anchors), then, where a
-group would still be too large, by the whole window of 50 words. The subtree of
-a group is built as its sorted leaves: word sequences are ranked by prefix
-doubling up to the threshold depth, and the runs of equal rank are the leaves
-under one internal node at least that deep, which is a maximal repeat. A node
-carries the least doc_id of its leaves; leaves of other documents are repeats.
-A group whose prefix is already as long as the threshold is itself such a node,
-so an aggregate carries its least id.
+Suffixes are split by prefixes of variable length into groups that fit in
+memory: first by the 20 words of their windows' anchor, then, where a group is
+still too large, by 35, 43 and more words around it up to the whole window of 50
+(see anchors). The suffix tree of a group is built as its sorted leaves and the
+depths at which neighbours part; an internal node is a run of leaves between
+shallower depths. The nodes at least LENGTH deep that have no such node above
+them are the maximal repeats' highest places. A node carries the least doc_id of
+its leaves, and every leaf's windows below it are repeats for larger ids.
 """
 
 from __future__ import annotations
@@ -47,38 +46,45 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, np.array([0, len(hashes)])
 
 
-def stretches(text: bytes):
-    """A view that gives the words of a run of windows, joined by one space."""
+def view(text: bytes):
+    """A view that gives the words from one to another, joined by one space."""
     found = text.split()
-    return lambda at, n: b" ".join(found[at : at + n + LENGTH - 1])
+    return lambda a, b: b" ".join(found[a:b])
 
 
-def ranked(code: np.ndarray, length: int) -> np.ndarray:
-    """The rank, in the order of their first ``length`` symbols, of all suffixes of ``code``; equal for equal ones.
+def tree(code: np.ndarray, leaves: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree, down to ``depth``, of the suffixes of ``code`` at ``leaves``: the leaves in order, and the depth at which each parts from the one before.
 
-    By prefix doubling; suffixes are compared as if zeros followed.
+    Suffixes are ranked by prefixes of 1, 2, 4, ... symbols; two neighbours part
+    behind the prefixes of these sizes, the largest first, that they share.
+    Depths beyond ``depth`` are given as that or more.
     """
     rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
-    size = 1
-    while size < length:
-        step = min(size, length - size)
+    size, ranks = 1, [rank]
+    while size < depth:
         after = np.zeros_like(rank)
-        after[: len(rank) - step] = rank[step:]
+        after[: len(rank) - size] = rank[size:]
         rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        size += step
-    return rank
-
-
-def deep_nodes(code: np.ndarray, leaves: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted leaves and the bounds of the internal nodes at least ``length`` deep, for suffixes at ``leaves``."""
-    rank = ranked(code, length)[leaves]
-    order = np.argsort(rank, kind="stable")
-    bounds = np.flatnonzero(np.append(True, np.diff(rank[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-    return order, bounds
-
-
-def compare(key: np.ndarray, doc: np.ndarray, texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, offset) of the windows below a deep node that has a leaf of a smaller id."""
+        ranks.append(rank)
+        size *= 2
+    order = np.argsort(rank[leaves], kind="stable")
+    a, b = leaves[order][1:], leaves[order][:-1]
+    parts = np.zeros(len(leaves), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + parts[1:], b + parts[1:]
+        inside = (x < len(code)) & (y < len(code))
+        same = ranks[k][np.where(inside, x, 0)] == ranks[k][np.where(inside, y, 0)]
+        parts[1:] += np.where(inside & same, 1 << k, 0)
+    return order, parts
+
+
+def deep_nodes(parts: np.ndarray, length: int) -> np.ndarray:
+    """Where, among sorted leaves, the highest nodes at least ``length`` deep begin; a leaf alone is one."""
+    return np.flatnonzero(parts < length)
+
+
+def compare(least: np.ndarray, most: np.ndarray, copies: np.ndarray, texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, offset, least id of the node) of the windows below a deep node that has a smaller id than some place of their stretch."""
     ids: dict[bytes, int] = {}
     split = [t.split() for t in texts]
     code = [ids.setdefault(x, len(ids)) for s in split for x in [*s, None]]
@@ -89,16 +95,18 @@ def compare(key: np.ndarray, doc: np.ndarray, texts: list[bytes], length: int =
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(texts)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    order, bounds = deep_nodes(code, begin[owner] + offset, length)
-    if not len(order):
-        return owner, offset
-    least = np.minimum.reduceat(doc[owner[order]], bounds)
-    hit = np.zeros(len(owner), bool)
-    hit[order] = doc[owner[order]] > np.repeat(least, np.diff(np.append(bounds, len(order))))
-    return owner[hit], offset[hit]
+    if not len(owner):
+        return owner, offset, offset
+    order, parts = tree(code, begin[owner] + offset, length)
+    nodes = deep_nodes(parts, length)
+    lowest = np.minimum.reduceat(least[owner[order]], nodes)
+    carried = np.empty(len(owner), np.int64)
+    carried[order] = np.repeat(lowest, np.diff(np.append(nodes, len(order))))
+    hit = carried < most[owner]
+    return owner[hit], offset[hit], carried[hit]
 
 
-WINDOWS = Windows(LENGTH, ANCHOR, symbols, stretches, smaller_id=True)
+WINDOWS = Windows(LENGTH, ANCHOR, symbols, 1, view, smaller_id=True)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -116,11 +124,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "z"):
             total, removed, kept = [], [], []
-            for text, starts, stops in zip(unpack(batch.column("z")), batch.column("start").to_pylist(), batch.column("stop").to_pylist()):
+            for text, runs in zip(unpack(batch.column("z")), batch.column("runs").to_pylist()):
                 found = text.split()
                 keep = np.ones(len(found), bool)
-                for a, b in zip(starts or (), stops or ()):
-                    keep[a:b] = False
+                for r in runs or ():
+                    keep[r["start"] : r["stop"]] = False
                 total.append(len(found))
                 removed.append(len(found) - int(keep.sum()))
                 kept.append(b" ".join(compress(found, keep.tolist()) if removed[-1] else found))

@@ -336,6 +336,43 @@ def test_side_clusters_that_share_several_changes(spark, monkeypatch):
     assert sorted(map(tuple, found), key=str) == brute_components(rows, 1, 85)
 
 
+def test_ids_with_several_texts_are_one_node(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "pqrs"]
+    rows = [(5, texts[0]), (5, texts[1]), (9, texts[1]), (3, texts[0]), (7, texts[2]), (9, texts[2]), (8, texts[3])]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("rate", [0.015, 0.03])
+def test_many_copies_around_the_threshold(spark, rate):
+    """A text's copies of which about half are just below the threshold to it and to each other, some in steps from one another."""
+    rng = random.Random(int(rate * 1000))
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(260):
+        w = list(base) if k < 130 else rows[rng.randrange(k)][1].split()
+        for _ in range(max(1, int(rng.gauss(150 * rate, 2)))):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows, 3, 85)
+
+
+def test_patterned_words_are_no_copies(spark, monkeypatch):
+    """Two long words in the Thue-Morse order, and texts of more shingles than are sketched at once."""
+    monkeypatch.setattr(near_dup, "MOST", 50)
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+    rng = random.Random(1)
+    long = prose(rng, 400)
+    rows = [(1, one), (2, two), (3, one), (4, long), (5, long + " end"), (6, prose(rng, 400))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(rows, 3, 85)
+    shingles = [near_dup.exact_sets([t.encode() for _, t in rows], 3), near_dup.shingle_sets(*near_dup.raw(pa.array([t for _, t in rows])), 3)]
+    for k in range(len(rows)):
+        assert sorted(shingles[0][1][shingles[0][0][k]]) == sorted(shingles[1][0][shingles[1][1][k] : shingles[1][1][k + 1]])
+
+
 def test_sketches_fill_every_coordinate():
     value = np.sort(np.random.default_rng(0).integers(1, 1 << 62, 7).astype(np.uint64))
     sketch = near_dup.sketches(value, np.array([0, 7, 7]), 60)

@@ -72,11 +72,11 @@ def test_bytes(request, which):
     assert which == "no_docs" or any(f[2] for f in found)
 
 
-def test_large_groups_go_by_whole_windows(spark, monkeypatch):
-    """A passage with more different surroundings than GROUP."""
+def test_large_groups_are_split(spark, monkeypatch):
+    """A passage with more different surroundings than GROUP, which some share in part."""
     monkeypatch.setattr(anchors, "GROUP", 3)
     passage = " ".join(f"p{k}" for k in range(70))
-    docs = spark.createDataFrame([(k, f"before{k} b{k} {passage} after{k} a{k}") for k in range(12)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"before{k} b{k % 3} {passage} after{k % 4} a{k}") for k in range(12)] + [(k, f"x{k} " + passage[: 170 + 9 * k]) for k in range(12)], "doc_id bigint, text string")
     rows = pairs(docs)
     found = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in suffix_tree.dedup(docs).collect()]
     assert sorted(found, key=str) == brute_words(rows)
@@ -85,7 +85,7 @@ def test_large_groups_go_by_whole_windows(spark, monkeypatch):
     assert sorted(found, key=str) == brute_bytes(pairs(long))
 
 
-@pytest.mark.parametrize("group", [anchors.GROUP, 1])
+@pytest.mark.parametrize("group", [anchors.GROUP, 2])
 def test_all_places_of_a_stretch_under_the_least_id(spark, monkeypatch, group):
     """X P Y X P Y, and X P Y in two texts of one id, against A P B: the border stretches are the same in both places."""
     monkeypatch.setattr(anchors, "GROUP", group)
@@ -96,6 +96,52 @@ def test_all_places_of_a_stretch_under_the_least_id(spark, monkeypatch, group):
     assert sorted(found, key=str) == brute_words(pairs(docs))
 
 
+def numbered(letter, n):
+    return " ".join(f"{letter}{k}" for k in range(n))
+
+
+@pytest.mark.parametrize("before", ["", numbered("z", 70) + " "])
+def test_a_passage_twice_in_one_document(spark, before):
+    first = numbered("a", 90) + " " + numbered("q", 60)
+    half = numbered("a", 90) + " " + numbered("x", 90)
+    docs = spark.createDataFrame([(1, before.replace("z", "y") + first), (2, before + f"{half} {numbered('j', 120)} {half}")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in suffix_tree.dedup(docs).collect()}
+    assert found == {1: 0, 2: 180}
+
+
+def test_equal_rows_have_their_runs_once(spark):
+    text = numbered("p", 200)
+    rows = [(1, text)] + [(2, text)] * 40 + [(None, text)] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for module, brute in ((suffix_tree, brute_words), (suffix_array, brute_bytes)):
+        runs = anchors.repeated(anchors.named(docs), module.WINDOWS, module.compare).collect()
+        assert max(len(r["runs"]) for r in runs) < 30
+        found = [tuple(r)[:3] + ((r["n_spans"],) if module is suffix_array else ()) + (r["kept_sha256"],) for r in module.dedup(docs).collect()]
+        assert sorted(found, key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("module", [suffix_tree, suffix_array])
+def test_very_long_texts_in_stretches(spark, monkeypatch, module):
+    """STRETCH and SLICE so small that windows and texts cross them."""
+    monkeypatch.setattr(anchors, "STRETCH", 64)
+    monkeypatch.setattr(suffix_tree, "SLICE", 100)
+    passage = numbered("p", 120)
+    rows = [(k, f"{numbered(f'u{k}', 40 + k)} {passage} {numbered(f'v{k}', 100)} {passage[: 300 + 40 * k]}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [tuple(r)[:3] + ((r["n_spans"],) if module is suffix_array else ()) + (r["kept_sha256"],) for r in module.dedup(docs).collect()]
+    assert sorted(found, key=str) == (brute_words if module is suffix_tree else brute_bytes)(rows)
+
+
+def test_patterned_words_are_told_apart(spark):
+    """Words and windows of two symbols in the Thue-Morse order, whose polynomial hashes modulo 2**64 are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+    rows = [(1, f"{numbered('p', 30)} {one} {numbered('q', 30)}"), (2, f"{numbered('p', 30)} {two} {numbered('q', 30)}"), (3, " ".join(one)), (4, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in suffix_tree.dedup(docs).collect()]
+    assert sorted(found, key=str) == brute_words(rows)
+
+
 def test_suffix_array_and_bounded_boundaries():
     rng = np.random.default_rng(1)
     for alphabet in (2, 3, 20):
@@ -111,8 +157,17 @@ def test_suffix_array_and_bounded_boundaries():
                 assert alone.tolist() == want
 
 
-def test_deep_nodes_are_runs_of_equal_prefixes():
-    code = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9], np.int64)
-    order, bounds = suffix_tree.deep_nodes(code, np.array([0, 3, 6]), 3)
-    groups = [sorted(g.tolist()) for g in np.split(order, bounds[1:])]
-    assert sorted(groups) == [[0, 2], [1]]
+def test_tree_depths_and_deep_nodes():
+    rng = np.random.default_rng(3)
+    for depth in (1, 2, 3, 5, 50):
+        code = rng.integers(0, 3, 60)
+        code[-1] = 9
+        leaves = np.arange(0, 60, 2)
+        order, parts = suffix_tree.tree(code, leaves, depth)
+        text = code.tolist()
+        for k in range(1, len(order)):
+            a, b = text[leaves[order[k - 1]] :], text[leaves[order[k]] :]
+            common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert min(parts[k], depth) == min(common, depth) and a[:depth] <= b[:depth]
+        groups = np.split(leaves[order], suffix_tree.deep_nodes(parts, depth)[1:])
+        assert len(groups) == len({tuple(text[i : i + depth]) for i in leaves})
