@@ -50,11 +50,11 @@ def afresh(df: DataFrame) -> DataFrame:
     A checkpoint hands on the size that the optimiser has estimated for it. That
     of a join is the product of its sides', so in a loop it soon has millions of
     digits, and planning takes longer than the work. A table's size is that of
-    its files.
+    its files, of which there are at most four for each core of the cluster.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
