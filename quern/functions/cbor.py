@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import struct
 from collections.abc import Iterator
 
@@ -19,15 +21,35 @@ def _head(major: int, n: int) -> bytes:
     raise OverflowError(n)
 
 
+_EPOCH = datetime.date(1970, 1, 1)
+#: Tags and what they make of their item.
+_TAGS = {
+    0: datetime.datetime.fromisoformat,
+    2: lambda data: int.from_bytes(data, "big"),
+    3: lambda data: -1 - int.from_bytes(data, "big"),
+    4: lambda pair: decimal.Decimal((int(pair[1] < 0), tuple(map(int, str(abs(pair[1])))), pair[0])),
+    100: lambda days: _EPOCH + datetime.timedelta(days),
+}
+
+
 def dumps(value) -> bytes:
-    """Null, booleans, integers, floats, bytes, text, lists and maps."""
+    """Null, booleans, integers of any size, floats, bytes, text, lists and maps; decimals (tag 4), dates (tag 100) and times (tag 0, in UTC)."""
     match value:
         case None:
             return b"\xf6"
         case bool():
             return b"\xf5" if value else b"\xf4"
         case int():
-            return _head(0, value) if value >= 0 else _head(1, -1 - value)
+            major, n = (0, value) if value >= 0 else (1, -1 - value)
+            return _head(major, n) if n < 1 << 64 else _head(6, 2 + major) + dumps(n.to_bytes((n.bit_length() + 7) // 8, "big"))
+        case decimal.Decimal():
+            sign, digits, exponent = value.as_tuple()
+            return _head(6, 4) + dumps([exponent, int("".join(map(str, digits))) * (-1 if sign else 1)])
+        case datetime.datetime():
+            utc = value.astimezone(datetime.UTC) if value.tzinfo else value
+            return _head(6, 0) + dumps(utc.replace(tzinfo=None).isoformat(timespec="microseconds") + "Z")
+        case datetime.date():
+            return _head(6, 100) + dumps((value - _EPOCH).days)
         case float():
             return b"\xfb" + struct.pack(">d", value)
         case bytes() | bytearray():
@@ -43,7 +65,7 @@ def dumps(value) -> bytes:
 
 
 def loads(data: bytes):
-    """The one item in ``data``; more or fewer bytes raise an error. Items of indefinite length and tags aren't taken."""
+    """The one item in ``data``; more or fewer bytes raise an error. Items of indefinite length and tags that ``dumps`` doesn't write aren't taken."""
     value, at = _item(data, 0)
     if at != len(data):
         raise ValueError(f"{len(data) - at} bytes behind the item")
@@ -71,7 +93,10 @@ def _item(data: bytes, at: int):
             raise ValueError("the item is cut off")
         return (bytes(data[at : at + n]) if major == 2 else data[at : at + n].decode()), at + n
     if major == 6:
-        raise ValueError("tags aren't taken")
+        if n not in _TAGS:
+            raise ValueError(f"tag {n} isn't taken")
+        value, at = _item(data, at)
+        return _TAGS[n](value), at
     out = []
     for _ in range(n * (major - 3)):
         value, at = _item(data, at)

@@ -65,9 +65,9 @@ def to_records(df: DataFrame, **options) -> DataFrame:
     return df.select(record_json(df, **options).alias("record"))
 
 
-def from_records(df: DataFrame, schema: T.StructType | str, column: str = "record", strict: bool = True) -> DataFrame:
+def from_records(df: DataFrame, schema: T.StructType | str, column: str = "record", strict: bool = True, options: dict | None = None) -> DataFrame:
     """The inverse of ``to_records`` for a known schema; what doesn't parse raises an error, or gives nulls if not ``strict``."""
-    parsed = F.from_json(F.col(column), schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    parsed = F.from_json(F.col(column), schema, {"mode": "FAILFAST" if strict else "PERMISSIVE", **(options or {})})
     return df.select(parsed.alias("r")).select("r.*")
 
 
@@ -88,7 +88,7 @@ def mapped(kind: T.DataType, leaf: Callable[[T.DataType], T.DataType]) -> T.Data
 
 
 def physical(kind: T.DataType) -> T.DataType:
-    """The type in which a file holds ``kind``: what annotates integers and bytes is taken off."""
+    """The type in which Spark's writer holds ``kind`` in a file: what annotates integers and bytes is taken off."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) or type(kind).__name__ == "TimeType":
         return T.LongType()
     if isinstance(kind, T.DateType):

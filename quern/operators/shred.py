@@ -61,14 +61,16 @@ def leaf(schema: T.StructType, path: str) -> Leaf:
     return found[0]
 
 
-def shred(df: DataFrame, keys: list[str], path: str) -> DataFrame:
+def shred(df: DataFrame, keys: list[str], path: str, schema: T.StructType | None = None) -> DataFrame:
     """``keys``, at, rep, def, max_def, value: one row for each entry of one leaf.
 
     ``at`` has the position in each list around the entry (from 0; 0 for the
     one entry that stands for a null or empty list). ``value`` is null wherever
-    ``def`` is below ``max_def``.
+    ``def`` is below ``max_def``. Levels are those of ``schema``, by default the
+    frame's; Spark takes every column of a file for nullable, so a file with
+    required nodes needs that of ``reader.stated_schema``.
     """
-    of = leaf(df.schema, path)
+    of = leaf(schema or df.schema, path)
     held = [F.col(f"`{k}`") for k in keys]
     first, *rest = of.steps
     value = F.col(f"`{first.name}`")
@@ -147,14 +149,15 @@ def _build(kind: T.DataType, nullable: bool, path: tuple[str, ...], seen: int, n
 def assemble(parts: dict[str, DataFrame], keys: list[str], schema: T.StructType) -> DataFrame:
     """``keys`` and the columns of ``schema``, from the shredded form of each of its leaves by path.
 
-    The leaves are zipped on the keys; every record must be in each of them.
+    The leaves are zipped on the keys; a record that one of them lacks raises an
+    error.
     """
     wanted = leaves(schema)
     missing = [x.path for x in wanted if x.path not in parts]
     if missing:
         raise KeyError(f"no entries for {', '.join(missing)}")
     frames = [_nested(parts[x.path], keys, x.max_rep).withColumnRenamed("r", f"__{i}") for i, x in enumerate(wanted)]
-    joined = reduce(lambda a, b: a.join(b, keys), frames)
+    joined = zip_columns(frames, keys)
     nested = {x.path: (F.col(f"__{i}"), x.max_rep) for i, x in enumerate(wanted)}
     columns = []
     for f in schema:
@@ -164,5 +167,8 @@ def assemble(parts: dict[str, DataFrame], keys: list[str], schema: T.StructType)
 
 
 def zip_columns(columns: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Frames that share ``keys``, side by side; rows that are not in all of them are left out."""
-    return reduce(lambda a, b: a.join(b, keys), columns)
+    """Frames that share ``keys``, side by side; a row that one of them lacks raises an error."""
+    marks = [f"__there{i}" for i in range(len(columns))]
+    joined = reduce(lambda a, b: a.join(b, keys, "full"), (c.withColumn(m, F.lit(True)) for c, m in zip(columns, marks)))
+    everywhere = reduce(lambda a, b: a & b, (F.col(m).isNotNull() for m in marks))
+    return joined.where(F.when(everywhere, True).otherwise(F.raise_error(F.lit("columns of different rows")).cast("boolean"))).drop(*marks)

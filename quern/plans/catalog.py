@@ -61,6 +61,8 @@ def _shared_folder(spark: SparkSession) -> str:
     if base is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quern-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -148,9 +150,9 @@ def record_json_bytes(spark, sf_dir):
     return odd.select("n_nationkey", records.record_json(odd.select("b")).alias("record"))
 
 
-@_query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+@_query("select * from orders")
 def record_json_roundtrip(spark, sf_dir):
-    orders = _read(spark, sf_dir, "orders").drop("o_orderdate")
+    orders = _read(spark, sf_dir, "orders")
     return records.from_records(records.to_records(orders), orders.schema)
 
 
@@ -160,10 +162,35 @@ def record_bytes_roundtrip(spark, sf_dir):
     return sinks.from_bytes(sinks.to_bytes(customer), customer.schema)
 
 
-@_query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier")
+@_query("select * from orders")
 def record_cbor_roundtrip(spark, sf_dir):
-    supplier = _read(spark, sf_dir, "supplier")
-    return sinks.from_cbor(sinks.to_cbor(supplier), supplier.schema)
+    orders = _read(spark, sf_dir, "orders")
+    return sinks.from_cbor(sinks.to_cbor(orders), orders.schema)
+
+
+@_query("select * from lineitem")
+def record_bytes_roundtrip_lineitem(spark, sf_dir):
+    lineitem = _read(spark, sf_dir, "lineitem")
+    return sinks.from_bytes(sinks.to_bytes(lineitem), lineitem.schema)
+
+
+@_query("select event_id, encode(props) as raw, cast(event_id as decimal(20, 2)) as amount from events")
+def record_bytes_roundtrip_binary(spark, sf_dir):
+    """A binary and a decimal column through bytes and CBOR."""
+    events = _read(spark, sf_dir, "events").select("event_id", F.col("props").cast("binary").alias("raw"), F.col("event_id").cast("decimal(20,2)").alias("amount"))
+    again = sinks.from_bytes(sinks.to_bytes(events), events.schema)
+    return sinks.from_cbor(sinks.to_cbor(again), events.schema)
+
+
+@_query("select n_nationkey as k, cast(0 as integer) as rep, cast(0 as integer) as def, cast(0 as integer) as max_def, n_nationkey as value from nation")
+def shred_required(spark, sf_dir):
+    """Levels of a column that the file states to be required, which Spark reads as nullable."""
+    nation = _read(spark, sf_dir, "nation").select(F.coalesce("n_nationkey", F.lit(0).cast("bigint")).alias("n_nationkey"))
+    folder = _shared_folder(spark)
+    nation.write.parquet(folder)
+    again = spark.read.parquet(folder)
+    found = shredding.shred(again.withColumn("k", F.col("n_nationkey")), ["k"], "n_nationkey", reader.stated_schema(again))
+    return found.select("k", "rep", "def", "max_def", "value")
 
 
 @_query("select event_id, cast(props->>'$.k' as bigint) as k from events")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import urllib.request
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import PurePosixPath
 
 from quern.sources import thrift
@@ -172,8 +171,8 @@ def pages(source, chunk: dict) -> Iterator[tuple[int, int, dict]]:
         at += reader.at + header["compressed_page_size"]
 
 
-@lru_cache(maxsize=256)
-def cached_footer(path: str) -> dict:
+def footer_of(path: str) -> dict:
+    """The metadata that the file has now."""
     source = opened(path)
     try:
         return footer(source)

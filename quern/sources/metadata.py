@@ -73,7 +73,7 @@ def schema_rows(elements: list[dict]) -> Iterator[tuple]:
 
 
 def file_rows(path: str) -> Iterator[tuple]:
-    meta = files.cached_footer(path)
+    meta = files.footer_of(path)
     algorithm, given = union(meta.get("encryption_algorithm"))
     encryption = (algorithm, given.get("aad_prefix"), given.get("aad_file_unique"), given.get("supply_aad_prefix")) if algorithm else None
     orders = [union(o)[0] for o in meta["column_orders"]] if "column_orders" in meta else None
@@ -81,20 +81,20 @@ def file_rows(path: str) -> Iterator[tuple]:
 
 
 def element_rows(path: str) -> Iterator[tuple]:
-    for row in schema_rows(files.cached_footer(path)["schema"]):
+    for row in schema_rows(files.footer_of(path)["schema"]):
         yield path, *row
 
 
 def group_rows(path: str) -> Iterator[tuple]:
     begin = 0
-    for k, group in enumerate(files.cached_footer(path)["row_groups"]):
+    for k, group in enumerate(files.footer_of(path)["row_groups"]):
         order = [(s["column_idx"], s["descending"], s["nulls_first"]) for s in group["sorting_columns"]] if "sorting_columns" in group else None
         yield path, k, begin, group["num_rows"], len(group["columns"]), group["total_byte_size"], group.get("total_compressed_size"), group.get("file_offset"), group.get("ordinal"), order
         begin += group["num_rows"]
 
 
 def chunk_rows(path: str) -> Iterator[tuple]:
-    for k, group in enumerate(files.cached_footer(path)["row_groups"]):
+    for k, group in enumerate(files.footer_of(path)["row_groups"]):
         for n, chunk in enumerate(group["columns"]):
             meta = chunk.get("meta_data") or {}
             counts = [(s["page_type"], s["encoding"], s["count"]) for s in meta["encoding_stats"]] if "encoding_stats" in meta else None
@@ -111,7 +111,7 @@ def chunk_rows(path: str) -> Iterator[tuple]:
 def page_rows(path: str) -> Iterator[tuple]:
     source = files.opened(path)
     try:
-        for k, group in enumerate(files.cached_footer(path)["row_groups"]):
+        for k, group in enumerate(files.footer_of(path)["row_groups"]):
             for chunk in group["columns"]:
                 meta = chunk.get("meta_data")
                 if not meta:

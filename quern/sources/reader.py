@@ -2,7 +2,8 @@
 
 ``read`` is Spark's own scan with a few views on it. ``ranged`` is for what that
 scan can't do: files behind HTTP and single row groups; it reads by byte range,
-one task for each row group.
+one task for each part of a file (or for each of the
+row groups asked for), which reads the footer and the row groups that begin in it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.functions import records
@@ -18,6 +20,8 @@ from quern.sources import files
 
 #: Rows of a batch that a task hands on.
 BATCH_ROWS = 1 << 14
+#: Bytes of a file whose row groups one task reads.
+PART_BYTES = 128 << 20
 
 
 def read(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, physical: bool = False, ordered: bool = False, raw_lists: bool = False, collapse_element: bool = False) -> DataFrame:
@@ -33,7 +37,7 @@ def read(spark: SparkSession, path: str | list[str], columns: list[str] | None =
     allow_times(spark)
     df = spark.read.parquet(*paths)
     if physical:
-        df = spark.read.schema(records.physical_schema(df.schema)).parquet(*paths)
+        df = spark.read.schema(physical_schema(df)).parquet(*paths)
     if ordered:
         df = df.orderBy("_metadata.file_path", "_metadata.row_index")
     if columns is not None:
@@ -43,6 +47,54 @@ def read(spark: SparkSession, path: str | list[str], columns: list[str] | None =
     return records.collapse_element(df) if collapse_element else df
 
 
+def _tree(elements: list[dict], at: int = 0) -> tuple[dict, int]:
+    """The schema node at a place of a footer's list, with its ``children`` by name, and the place behind it."""
+    node, children, behind = elements[at], {}, at + 1
+    for _ in range(node.get("num_children") or 0):
+        child, behind = _tree(elements, behind)
+        children[child["name"].decode()] = child
+    return node | {"children": children}, behind
+
+
+def _stated(kind: T.DataType, node: dict, leaf) -> T.DataType:
+    """``kind`` with the nullability that a file's schema node states; ``leaf`` makes the leaves' types."""
+    children = node["children"]
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _stated(f.dataType, children[f.name], leaf), children[f.name]["repetition_type"] != "REQUIRED", f.metadata) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        repeated = next(iter(children.values()), node)
+        inner = next(iter(repeated["children"].values())) if len(repeated["children"]) == 1 else repeated
+        return T.ArrayType(_stated(kind.elementType, inner, leaf), inner["repetition_type"] == "OPTIONAL")
+    if isinstance(kind, T.MapType):
+        key, value = next(iter(children.values()))["children"].values()
+        return T.MapType(_stated(kind.keyType, key, leaf), _stated(kind.valueType, value, leaf), value["repetition_type"] == "OPTIONAL")
+    return leaf(kind, node)
+
+
+def _of_first_file(df: DataFrame, leaf) -> T.StructType:
+    files_of = df.inputFiles()
+    if not files_of:
+        return df.schema
+    root, _ = _tree(files.footer_of(files_of[0])["schema"])
+    return T.StructType([T.StructField(f.name, _stated(f.dataType, root["children"][f.name], leaf), root["children"][f.name]["repetition_type"] != "REQUIRED", f.metadata) if f.name in root["children"] else f for f in df.schema])
+
+
+def stated_schema(df: DataFrame) -> T.StructType:
+    """The schema of a frame read from files with the nullability that the first file's footer states, which is what levels count."""
+    return _of_first_file(df, lambda kind, node: kind)
+
+
+#: Spark's types for the physical types of a file.
+_PHYSICAL = {"BOOLEAN": T.BooleanType, "INT32": T.IntegerType, "INT64": T.LongType, "FLOAT": T.FloatType, "DOUBLE": T.DoubleType, "BYTE_ARRAY": T.BinaryType, "FIXED_LEN_BYTE_ARRAY": T.BinaryType}
+
+
+def physical_schema(df: DataFrame) -> T.StructType:
+    """A schema that reads the frame's files without annotations. Decimals may be held in several ways, so where there are any the first file's footer tells."""
+    if "decimal(" not in df.schema.simpleString():
+        return records.physical_schema(df.schema)
+    return _of_first_file(df, lambda kind, node: _PHYSICAL[node["type"]]() if node["type"] in _PHYSICAL else kind)
+
+
 def allow_times(spark: SparkSession) -> None:
     """Lets the session read times of day, and nanosecond timestamps as integers, which it refuses by default."""
     spark.conf.set("spark.sql.timeType.enabled", "true")
@@ -61,9 +113,11 @@ def stream_records(df: DataFrame) -> Iterator[dict]:
         yield row.asDict(recursive=True)
 
 
-class RowGroup(InputPartition):
-    def __init__(self, path: str, number: int):
-        self.path, self.number = path, number
+class Part(InputPartition):
+    """A row group by its number, or the row groups that begin in a range of bytes."""
+
+    def __init__(self, path: str, number: int | None, start: int, stop: int):
+        self.path, self.number, self.start, self.stop = path, number, start, stop
 
 
 class RangedReader(DataSourceReader):
@@ -73,22 +127,33 @@ class RangedReader(DataSourceReader):
     def partitions(self) -> list[RowGroup]:
         out = []
         for path in files.listed(self.path):
-            count = len(files.cached_footer(path)["row_groups"])
-            wanted = range(count) if self.groups is None else self.groups
-            if any(g < 0 or g >= count for g in wanted):
-                raise IndexError(f"{path} has row groups 0 to {count - 1}")
-            out += [RowGroup(path, g) for g in wanted]
+            if self.groups is not None:
+                out += [Part(path, g, 0, 0) for g in self.groups]
+                continue
+            source = files.opened(path)
+            size = source.size
+            source.close()
+            out += [Part(path, None, a, min(a + PART_BYTES, size)) for a in range(0, size, PART_BYTES)]
         return out
 
-    def read(self, partition: RowGroup):
+    def read(self, partition: Part):
         import pyarrow.parquet as pq
 
         if partition is None:
             return
         source = files.opened(partition.path)
         try:
-            file = pq.ParquetFile(files.Seekable(source), pre_buffer=False)
-            yield from file.iter_batches(BATCH_ROWS, [partition.number], self.columns)
+            groups = files.footer(source)["row_groups"]
+            if partition.number is None:
+                starts = [files.first_page(g["columns"][0]["meta_data"]) for g in groups]
+                wanted = [k for k, start in enumerate(starts) if partition.start <= start < partition.stop]
+            elif not 0 <= partition.number < len(groups):
+                raise IndexError(f"{partition.path} has row groups 0 to {len(groups) - 1}")
+            else:
+                wanted = [partition.number]
+            if wanted:
+                file = pq.ParquetFile(files.Seekable(source), pre_buffer=False)
+                yield from file.iter_batches(BATCH_ROWS, wanted, self.columns)
         finally:
             source.close()
 

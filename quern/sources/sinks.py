@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from quern.functions import cbor, records
 
 
+#: Times to the microsecond; Spark writes milliseconds by default.
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> None:
     """One JSON object a line; options of ``record_json``."""
     records.to_records(df, **options).write.mode(mode).text(path)
@@ -23,13 +27,14 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def to_bytes(df: DataFrame) -> DataFrame:
-    """One binary column ``record``: the UTF-8 bytes of each row's JSON."""
-    return df.select(F.encode(records.record_json(df), "UTF-8").alias("record"))
+    """One binary column ``record``: the UTF-8 bytes of each row's JSON, where binary values are base64, so that they come back as they were."""
+    fields = [F.col(f"`{f.name}`") for f in df.schema]
+    return df.select(F.encode(F.to_json(F.struct(*fields), MICROS) if fields else F.lit("{}"), "UTF-8").alias("record"))
 
 
 def from_bytes(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """The inverse of ``to_bytes``; bytes that aren't UTF-8 raise an error."""
-    return records.from_records(df.select(F.validate_utf8(F.col("record").cast("string")).alias("record")), schema)
+    return records.from_records(df.select(F.validate_utf8(F.col("record").cast("string")).alias("record")), schema, options=MICROS)
 
 
 def to_cbor(df: DataFrame) -> DataFrame:

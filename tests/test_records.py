@@ -76,6 +76,28 @@ def test_bytes_and_cbor(spark, golden):
     assert sinks.from_cbor(sinks.to_cbor(maps), maps.schema).collect() == maps.collect()
 
 
+def test_every_type_through_bytes_and_cbor(spark):
+    df = spark.sql("""select * from values
+        (date'2024-02-29', timestamp'2024-02-29 12:34:56.789012', timestamp_ntz'1969-12-31 23:59:59.5', cast(-1.50 as decimal(5,2)), cast('12345678901234567890123456789.125' as decimal(38,3)), X'FF00', 'abcd', array(X'61', null), named_struct('d', date'1900-01-01')),
+        (null, null, null, null, null, X'', null, null, null) as t(d, ts, ntz, small, large, bin, txt, list, st)""")
+    df = df.union(df.select("d", "ts", "ntz", "small", "large", F.lit(b"abcd"), "txt", "list", "st"))
+    for there, back in ((sinks.to_bytes, sinks.from_bytes), (sinks.to_cbor, sinks.from_cbor)):
+        assert sorted(map(str, back(there(df), df.schema).collect())) == sorted(map(str, df.collect()))
+
+
+def test_physical_decimals(spark, tmp_path):
+    """A decimal of 15 digits in fixed bytes, as the file's footer says."""
+    import decimal
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "d.parquet")
+    pq.write_table(pa.table({"a": pa.array([decimal.Decimal("1.25"), None], pa.decimal128(15, 2)), "t": ["x", "y"]}), path)
+    rows = reader.read(spark, path, physical=True).collect()
+    assert int.from_bytes(rows[0]["a"], "big", signed=True) == 125 and rows[1]["a"] is None and bytes(rows[0]["t"]) == b"x"
+
+
 @pytest.mark.parametrize("value,coded", [(0, "00"), (23, "17"), (24, "1818"), (1000000, "1a000f4240"), (-1, "20"), (-500, "3901f3"), (1.1, "fb3ff199999999999a"), ("ü", "62c3bc"), (b"\1\2", "420102"), ([1, [2]], "82018102"), ({"a": 1}, "a1616101"), (None, "f6"), (True, "f5")])
 def test_cbor_vectors(value, coded):
     assert cbor.dumps(value).hex() == coded

@@ -104,3 +104,24 @@ def test_runs(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, None), (1, 3, None), (1, 4, "a"), (2, 0, None)], "k int, i int, v string")
     found = dictionaries.runs(df, ["k"], ["i"], "v").collect()
     assert sorted((r["k"], r["run"], str(r["v"]), r["n"]) for r in found) == [(1, 0, "a", 2), (1, 1, "None", 2), (1, 2, "a", 1), (2, 0, "None", 1)]
+
+
+def test_levels_of_required_nodes_come_from_the_file(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quern.sources import reader
+
+    path = str(tmp_path / "r.parquet")
+    kind = pa.schema([pa.field("k", pa.int64(), False), pa.field("x", pa.list_(pa.field("element", pa.int64(), False)), False)])
+    pq.write_table(pa.table({"k": [1, 2], "x": [[7, 8], []]}, schema=kind), path)
+    df = spark.read.parquet(path)
+    entries = shredding.shred(df, ["k"], "x.list.element", reader.stated_schema(df)).orderBy("k", "at").collect()
+    assert [(r["k"], r["rep"], r["def"], r["max_def"], r["value"]) for r in entries] == [(1, 0, 1, 1, 7), (1, 1, 1, 1, 8), (2, 0, 0, 1, None)]
+
+
+def test_columns_of_different_rows_raise(spark):
+    a, b = spark.createDataFrame([(1, 1), (2, 2)], "k int, a int"), spark.createDataFrame([(1, 3)], "k int, b int")
+    assert shredding.zip_columns([a.where("k = 1"), b], ["k"]).collect() == [(1, 1, 3)]
+    with pytest.raises(Exception, match="different rows"):
+        shredding.zip_columns([a, b], ["k"]).collect()

@@ -178,3 +178,13 @@ def test_row_group_by_range(spark, paged):
     assert reader.ranged(spark, paged, [1, 4], ["i"]).selectExpr("min(i)", "max(i)", "count(*)").head()[:] == (10_000, 49_999, 20_000)
     with pytest.raises(Exception, match="row groups 0 to 4"):
         reader.ranged(spark, paged, [5]).collect()
+
+
+def test_a_footer_is_read_anew_after_an_overwrite(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "o.parquet")
+    for rows in (5, 50):
+        pq.write_table(pa.table({"a": list(range(rows))}), path)
+        assert metadata(spark, "file_meta", path).head()["num_rows"] == rows
