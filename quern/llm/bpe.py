@@ -35,6 +35,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 SIMPLE = 0x24F
 #: Entries a cache may hold before it starts afresh.
 CACHE_ENTRIES = 200_000
+#: Longer pieces and fragments aren't kept, so that unbroken strings don't fill the memory.
+CACHE_LENGTH = 64
 #: Longer texts are split into pieces bit by bit.
 LONG_TEXT = 1 << 20
 
@@ -57,6 +59,8 @@ class _Cache(dict):
         self.make = make
 
     def __missing__(self, key):
+        if len(key) > CACHE_LENGTH:
+            return self.make(key)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[key] = value = self.make(key)
@@ -146,13 +150,13 @@ class Codec:
         if not cuts:
             return self.merge(data)
         cuts = [0, *cuts, len(data)]
-        return b"".join(self.fragments[data[a:b]] if b - a <= 64 else self.merge(data[a:b]) for a, b in zip(cuts, cuts[1:]))
+        return b"".join(self.fragments[data[a:b]] for a, b in zip(cuts, cuts[1:]))
 
     def _plain(self, text: str) -> bytes:
         pieces = self.pieces if self.beyond.search(text) else self.simple
         if len(text) <= LONG_TEXT:
             return b"".join(map(self.encoded.__getitem__, pieces.findall(text)))
-        return b"".join(self.encoded[m.group()] if m.end() - m.start() < 256 else self.encode_piece(m.group()) for m in pieces.finditer(text))
+        return b"".join(self.encoded[m.group()] for m in pieces.finditer(text))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""

@@ -9,12 +9,12 @@ block of texts and adds them up per text in numpy.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,10 @@ BUCKETS = 1 << BITS
 SMOOTHING = 0.5
 #: Text bytes worked on at once; each character needs a few dozen bytes.
 LIMIT = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+#: Category L; numerals such as Ⅷ and ½ are none.
+LETTER = regex.compile(r"\p{L}")
+#: Languages that may be learned: the matrix that is broadcast has 2**15 numbers for each.
+LANGUAGES = 200
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -82,6 +85,8 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
     found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(found.column("lang").unique().to_pylist())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are more than {LANGUAGES}")
     at = pc.index_in(found.column("lang"), pa.array(langs, pa.string()))
     counts = np.zeros((BUCKETS + 1, max(1, len(langs))))
     counts[np.asarray(found.column("bucket")), np.asarray(at)] = np.asarray(found.column("n"))
@@ -98,7 +103,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     languages; rows with a null lang are left out. Other columns are ignored.
     Returns doc_id, lang_pred and score, the posterior probability of lang_pred.
     A null text, or one without a letter, gets ``und`` and 0.0, as does every
-    row when nothing was learned. Ties go to the language first by name;
+    row when nothing was learned. Ties go to the language first by name; more than LANGUAGES languages raise an error; very long texts are read whole;
     repeated rows are judged alike; no rows give no rows.
     """
     train = (docs if train is None else train).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))

@@ -1,9 +1,10 @@
 """Secret scan by assignment-aware lexing.
 
 Base spans come from three fixed patterns. Beside them, source and configuration
-syntax is lexed into (name, literal) pairs around every assignment sign, names
+syntax is lexed into (name, literal) pairs around every assignment sign (also
+typed names, blocks of lines, and names and values of markup), names
 that stand for other names' literals are resolved (constant propagation, through
-chains, first definition wins), and each literal is scored by the sensitivity of
+chains; the last definition before the use, else the first behind it), and each literal is scored by the sensitivity of
 the name it reaches and by its own make-up.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -35,13 +36,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "named")
 
-SIGN = re.compile(r":=|=>|(?<![=!<>:])=(?![=>])|:(?![=:/])")
-NAME_BEFORE = re.compile(r"([A-Za-z_$][A-Za-z0-9_.$-]*)[\"'\]]{0,2}[ \t]*\Z")
-LITERAL = re.compile(r"[ \t]*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$~!@%^&*-]+))")
-JOIN = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`])")
+#: A name and the sign behind it; what stands between may be a quote that ends the name, and a type. Possessive, so linear in the text.
+SIGN = re.compile(r"(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*+)[\"'\]]{0,2}+[ \t]*+(?:(?::=|=>|=(?![=>])|:(?![=:/])))")
+TYPE = re.compile(r"[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\]|]*+[ \t]*+=(?![=>])")
+LITERAL = re.compile(r"[ \t]*(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9+/_.$~!@%^&*-]++(?:={1,2}(?![A-Za-z0-9+/_.=$~!@%^&*-]))?))", re.DOTALL)
+BARE = 6
+JOIN = re.compile(r"[ \t]*\+[ \t]*")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.-]*)\}?\Z")
-#: Characters of a line before an assignment sign in which its name is looked for.
-NAME_REACH = 96
+#: A block of indented lines behind a key.
+BLOCK = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\Z))+)")
+#: A name and a value in two attributes, and an element's name and text.
+ATTRIBUTES = re.compile(r"\b(?:name|key|id)[ \t]*=[ \t]*([\"'])([A-Za-z_][A-Za-z0-9_.-]*+)\1[ \t\n]+value[ \t]*=[ \t]*([\"'])((?:(?!\3)[^\n])*+)\3")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>\n]++)</\1>")
 #: How strongly a part of a name says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.7, "bearer": 0.8, "signature": 0.5, "key": 0.5}
 #: Names and values that only look like secrets.
@@ -75,35 +81,84 @@ def base_spans(text: str) -> list[tuple[str, int, int, int, int]]:
     return out + [("hex", m.start(), m.end(), m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """The (name, literal, start, end, quoted) of every assignment, in order; joined strings count as one."""
-    out = []
-    for sign in SIGN.finditer(text) if ":" in text or "=" in text else ():
-        name = NAME_BEFORE.search(text[max(0, sign.start() - NAME_REACH) : sign.start()])
-        m = LITERAL.match(text, sign.end()) if name else None
-        if not m:
-            continue
+#: (value, start, end, whether it is quoted, whether it goes on from the string before)
+Term = tuple[str, int, int, bool, bool]
+
+
+def _terms(text: str, at: int) -> list[Term]:
+    """What is assigned from ``at`` on: a literal or a name, or several joined by +; neighbouring strings are one."""
+    out: list[Term] = []
+    while m := LITERAL.match(text, at):
         kind = m.lastindex
-        value, end = m.group(kind), m.end(kind)
-        while kind != 4 and (plus := JOIN.match(text, m.end())) and (m := LITERAL.match(text, plus.end())) and m.lastindex != 4:
-            value, end = value + m.group(m.lastindex), m.end(m.lastindex)
-        out.append((name[1], value, sign.end() + len(text[sign.end() : end]) - (end - LITERAL.match(text, sign.end()).start(kind)), end, kind != 4))
+        value, start, end = m.group(kind), m.start(kind), m.end(kind)
+        if kind == BARE and value.endswith("+") and text[end : end + 1] in ("'", '"', "`"):
+            value, end = value[:-1], end - 1
+        out.append((value, start, end, kind != BARE, bool(out) and out[-1][3] and kind != BARE))
+        plus = JOIN.match(text, end if kind == BARE else m.end())
+        if not plus:
+            break
+        at = plus.end()
     return out
 
 
+def pairs(text: str) -> list[tuple[int, str, list[Term]]]:
+    """(position, name, terms) of every assignment, in order: code, configuration, typed names, blocks, attributes and elements."""
+    out, behind = [], 0
+    if ":" in text or "=" in text:
+        for sign in SIGN.finditer(text):
+            at = sign.end()
+            if text[at - 1] == ":":
+                if at >= behind and (block := BLOCK.match(text, at)):
+                    behind = block.end()
+                    start = block.start(1) + len(block[1]) - len(block[1].lstrip())
+                    out.append((sign.start(), sign[1], [("".join(line.strip() for line in block[1].splitlines()), start, start + len(block[1].strip()), True, False)]))
+                    continue
+                if kind := TYPE.match(text, at):
+                    at = kind.end()
+            if terms := _terms(text, at):
+                out.append((sign.start(), sign[1], terms))
+    if "<" in text:
+        out += [(m.start(), m[2], [(m[4], m.start(4), m.end(4), True, False)]) for m in ATTRIBUTES.finditer(text)]
+        out += [(m.start(), m[1], [(m[2], m.start(2), m.end(2), True, False)]) for m in ELEMENT.finditer(text)]
+    return sorted(out, key=lambda p: p[0])
+
+
 def named_spans(text: str) -> list[tuple[str, int, int, int, int]]:
-    """Literals that reach a sensitive name, by themselves or through other names, and score enough."""
-    defined: dict[str, tuple[str, int, int]] = {}
-    found = {}
-    for name, value, start, end, quoted in pairs(text):
-        short = name.rpartition(".")[2] or name
-        target, seen = (value, start, end), set()
-        while not quoted and (ref := REFERENCE.match(target[0])) and ref[1] in defined and ref[1] not in seen:
-            seen.add(ref[1])
-            target = defined[ref[1]]
-        defined.setdefault(short, target)
-        if (s := sensitivity(name)) and s * strength(target[0]) >= THRESHOLD:
-            found[target[1:]] = ("named", *target[1:], *target[1:])
+    """Literals that reach a sensitive name, by themselves or through other names, and score enough.
+
+    A name stands for its last definition before the place that uses it, or for
+    its first one where all are behind.
+    """
+    found, known = {}, pairs(text)
+    defined: dict[str, tuple[list[int], list[list[Term]]]] = {}
+    for at, name, terms in known:
+        places, values = defined.setdefault(name.rpartition(".")[2] or name, ([], []))
+        places.append(at)
+        values.append(terms)
+    for at, name, terms in known:
+        s = sensitivity(name)
+        if not s:
+            continue
+        parts, seen, todo = [], {name.rpartition(".")[2] or name}, [(at, t) for t in reversed(terms)]
+        while todo:
+            use, (value, start, end, quoted, goes_on) = todo.pop()
+            ref = None if quoted else REFERENCE.match(value)
+            if ref and ref[1] in defined and ref[1] not in seen:
+                seen.add(ref[1])
+                places, values = defined[ref[1]]
+                k = max(bisect_left(places, use) - 1, 0)
+                todo += [(places[k], t) for t in reversed(values[k])]
+            else:
+                parts.append((value, start, end, goes_on))
+        if s * strength("".join(p[0] for p in parts)) >= THRESHOLD:
+            joined: list[list[int]] = []
+            for value, start, end, goes_on in parts:
+                if goes_on and joined:
+                    joined[-1][1] = end
+                elif value:
+                    joined.append([start, end])
+            for start, end in joined:
+                found[start, end] = ("named", start, end, start, end)
     return list(found.values())
 
 
@@ -140,8 +195,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Needs columns doc_id and text; others are ignored. Returns doc_id, n_assign,
     n_access, n_hex, base_sha256, spans (code points, end exclusive) and redacted.
     A null text counts as empty and has no span (its redacted text stays null);
-    repeated rows are scanned one by one; a null doc_id stays null; no rows give
-    no rows.
+    repeated rows are scanned one by one; a null doc_id stays null; a very long
+    text is scanned whole; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +231,7 @@ def clean(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

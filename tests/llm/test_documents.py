@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -52,11 +53,11 @@ def test_language_of_odd_rows(spark, unruly_docs, no_docs):
     rows = pairs(unruly_docs)
     assert len(found) == len(rows)
     none = [r for r in found if r["lang_pred"] == "und"]
-    assert len(none) == sum(not re.search(r"[^\W\d_]", t or "") for _, t in rows) and all(r["score"] == 0 for r in none)
+    assert len(none) == sum(not any(unicodedata.category(c)[0] == "L" for c in t or "") for _, t in rows) and all(r["score"] == 0 for r in none)
     assert langid.identify(no_docs, train).collect() == []
     assert {r["lang_pred"] for r in langid.identify(unruly_docs, train.limit(0)).collect()} == {"und"}
-    one = spark.createDataFrame([(1, "the dog"), (2, "le chien"), (3, "12 ?")], "doc_id bigint, text string")
-    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(one, train).collect()} == {1: "en", 2: "fr", 3: "und"}
+    one = spark.createDataFrame([(1, "the dog"), (2, "le chien"), (3, "12 ?"), (4, "½ ² ① Ⅷ")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(one, train).collect()} == {1: "en", 2: "fr", 3: "und", 4: "und"}
 
 
 # Secrets
@@ -95,6 +96,40 @@ def test_named_secrets_and_constants():
     assert secrets.redact(text, secrets.spans(text)).count("[SECRET]") >= 1 and "Xp4" not in secrets.redact(text, secrets.spans(text))
 
 
+SECRET = "q8Zt!v2Lw9#Xp4"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f'k = "harmless text"; k = "{SECRET}"; signing_secret = k', [SECRET]),
+        (f'signing_secret = k\nk = "{SECRET}"', [SECRET]),
+        (f'k = "{SECRET}"\nsigning_secret = k\nk = "harmless text"', [SECRET]),
+        (f'db_password: str = "{SECRET}"', [SECRET]),
+        (f'db_password = """{SECRET}"""', [SECRET]),
+        (f"db_password: |\n  {SECRET}\nother: 1", [SECRET]),
+        (f'<add key="db_password" value="{SECRET}"/>', [SECRET]),
+        (f"<password>{SECRET}</password>", [SECRET]),
+        ('P = "q8Zt!v2L"\ndb_password = P + "#Xp4zzQ1"', ["q8Zt!v2L", "#Xp4zzQ1"]),
+        (f'password{" " * 100}= "{SECRET}"', [SECRET]),
+        (f'{"x." * 90}password = "{SECRET}"', [SECRET]),
+        (f'title = "{SECRET}"', []),
+        ("password = password\ntoken = a\na = b\nb = a", []),
+    ],
+)
+def test_named_secrets_in_many_forms(text, want):
+    assert [text[a:b] for k, a, b, _, _ in secrets.spans(text) if k == "named"] == want
+
+
+def test_very_long_texts_are_scanned_in_linear_time():
+    import time
+
+    for text in ("x" * 500_000 + "=", "a:" * 50_000, "password " * 50_000, "k=" * 50_000 + "k", "a = b + " * 20_000, "  a: |\n" * 20_000):
+        began = time.process_time()
+        secrets.spans(text)
+        assert time.process_time() - began < 30
+
+
 def test_clean_keeps_rows_and_columns(spark, no_docs):
     docs = spark.createDataFrame([(1, "token=abcdefghijklmnop!", 23, "x"), (2, None, None, "y"), (3, "plain", 5, "z")], "doc_id bigint, text string, n_chars bigint, spans string")
     out = secrets.clean(docs).orderBy("doc_id").collect()
@@ -250,6 +285,14 @@ def test_bpe_is_the_library_s(spark, unruly_docs, no_docs):
     assert bpe.encode(no_docs).collect() == []
 
 
+def test_long_pieces_are_not_kept(monkeypatch):
+    code = bpe.Codec(bpe.default_path())
+    monkeypatch.setattr(bpe, "LONG_TEXT", 100)
+    text = "ab" * 400 + " the cat " * 40 + "é" * 300
+    assert code.decode(code.encode(text)) == text
+    assert max(map(len, [*code.encoded, *code.fragments])) <= bpe.CACHE_LENGTH
+
+
 def test_bpe_merges_without_the_fast_core():
     code = bpe.Codec(bpe.default_path())
     rng = random.Random(2)
