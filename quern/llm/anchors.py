@@ -162,7 +162,7 @@ def repeated(docs: DataFrame, w: Windows, compare: Callable) -> DataFrame:
     hits = [alone, _compared(leaves.where(F.col("members") <= GROUP), w, compare)]
     large = leaves.where(F.col("members") > GROUP)
     if not large.isEmpty():
-        hits.append(_split(large, w, compare, 0, w.length - w.gram))
+        hits.append(_split(large, w, compare))
     found = hits[0]
     for more in hits[1:]:
         found = found.unionByName(more)
@@ -179,78 +179,71 @@ def _recurs(w: Windows):
     return F.col("least") < F.col("most") if w.smaller_id else F.col("copies") > 1
 
 
-_LEAF = "key bigint, span bigint, n int, lead int, least bigint, most bigint, copies bigint, members bigint, stretch binary"
+_LEAF = "key bigint, span bigint, n int, lead int, low int, high int, least bigint, most bigint, copies bigint, members bigint, stretch binary"
 
 
 def _leaves(joined: DataFrame, w: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "span", "n", "lead", "least", "most", "copies", "members"]
+        names = ["key", "span", "n", "lead", "low", "high", "least", "most", "copies", "members"]
         for batch in blocks(batches, "z", 1 << 19):
             out: list[list] = [[] for _ in range(len(names) + 1)]
             for text, some in zip(unpack(batch.column("z")), batch.column("s").to_pylist()):
                 view = w.view(text)
                 for s in some:
+                    # Anchors are at every offset of a window to begin with.
                     for column, name in zip(out, names):
-                        column.append(s[name])
+                        column.append({"low": 0, "high": w.length - w.gram}.get(name, s.get(name)))
                     out[-1].append(view(s["at"], s["at"] + s["n"] + w.length - 1))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 4, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [*names, "stretch"])
 
     return joined.mapInArrow(run, _LEAF)
 
 
-def _split(large: DataFrame, w: Windows, compare: Callable, low: int, high: int) -> DataFrame:
+def _split(large: DataFrame, w: Windows, compare: Callable) -> DataFrame:
     """What ``_compared`` gives for the leaves of groups that are too large.
 
-    The windows of ``large`` whose anchors are at offsets from ``low`` to
-    ``high`` are dealt to groups of longer common parts, as long as groups are
-    too large. Equal parts of different leaves are one leaf there.
+    Each half of a leaf's offsets is dealt to a group for the longer part that
+    its windows have in common, as long as groups are too large. Equal parts of
+    different leaves are one leaf there. Offsets halve each time, so this goes
+    no deeper than their logarithm.
     """
-    middle = (low + high) // 2
-    hits = None
-    for a, b in ((low, middle), (middle + 1, high)):
-        pieces = afresh(large.mapInArrow(_pieces(w, a, b), "shift int, whole bigint, of bigint, key bigint, span bigint, n int, lead int, least bigint, most bigint, copies bigint, stretch binary"))
-        same = [F.first(c).alias(c) for c in ("n", "lead", "stretch")]
-        leaves = pieces.groupBy("key", "span").agg(*same, F.min("least").alias("least"), F.max("most").alias("most"), F.sum("copies").alias("copies"))
-        leaves = cut(leaves)
-        members = cut(leaves.groupBy("key").agg(F.count("*").alias("members")))
-        leaves = leaves.join(members, "key")
-        alone = leaves.where("members = 1").where(_recurs(w)).select("key", "span", F.lit(0).cast("bigint").alias("start"), (F.col("n") + (w.length - 1)).cast("bigint").alias("stop"), "least")
-        small = leaves.where("members > 1")
-        found = alone
-        if a < b:  # else every group is one window
-            columns = [c.split()[0] for c in _LEAF.split(", ")]
-            small = cut(small.select(*columns))
-            found = found.unionByName(_compared(small.where(F.col("members") <= GROUP), w, compare))
-            rest = small.where(F.col("members") > GROUP)
-            if not rest.isEmpty():
-                found = found.unionByName(_split(rest, w, compare, a, b))
-        found = pieces.select("key", "span", "whole", "of", "shift").join(cut(found), ["key", "span"])
-        found = found.select(F.col("whole").alias("key"), F.col("of").alias("span"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"), "least")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
-
-
-def _pieces(w: Windows, low: int, high: int) -> Callable:
-    """Leaves to their parts whose windows have the anchor at ``low`` to ``high``: key and span of the part, those of the leaf, and where the part starts in it."""
+    pieces = afresh(large.mapInArrow(_pieces(w), "shift int, whole bigint, of bigint, key bigint, span bigint, n int, lead int, low int, high int, least bigint, most bigint, copies bigint, stretch binary"))
+    same = [F.first(c).alias(c) for c in ("n", "lead", "low", "high", "stretch")]
+    leaves = cut(pieces.groupBy("key", "span").agg(*same, F.min("least").alias("least"), F.max("most").alias("most"), F.sum("copies").alias("copies")))
+    members = cut(leaves.groupBy("key").agg(F.count("*").alias("members")))
+    leaves = leaves.join(members, "key")
+    found = leaves.where("members = 1").where(_recurs(w)).select("key", "span", F.lit(0).cast("bigint").alias("start"), (F.col("n") + (w.length - 1)).cast("bigint").alias("stop"), "least")
+    several = cut(leaves.where("members > 1").select(*(c.split()[0] for c in _LEAF.split(", "))))
+    found = found.unionByName(_compared(several.where(F.col("members") <= GROUP), w, compare))
+    rest = several.where(F.col("members") > GROUP)
+    if not rest.isEmpty():
+        found = found.unionByName(_split(rest, w, compare))
+    found = pieces.select("key", "span", "whole", "of", "shift").join(cut(found), ["key", "span"])
+    return found.select(F.col("whole").alias("key"), F.col("of").alias("span"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"), "least")
+
+
+def _pieces(w: Windows) -> Callable:
+    """Leaves to their parts for each half of their offsets: key and span of the part, those of the leaf, and where the part starts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "stretch", 1 << 19):
-            out: list[list] = [[] for _ in range(11)]
+            out: list[list] = [[] for _ in range(13)]
             for s in batch.to_pylist():
-                # The window at w has its anchor at lead - w.
-                a, b = max(0, s["lead"] - high), min(s["n"], s["lead"] - low + 1)
-                if a >= b:
-                    continue
-                view = w.view(s["stretch"])
-                core = view(s["lead"] - low, s["lead"] - high + w.length)
-                part = view(a, b + w.length - 1)
-                lead = s["lead"] - a
-                key, span = (int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=f"{low},{high}".encode()).digest(), "little", signed=True) for x in (core, part + f" {lead}".encode()))
-                for column, value in zip(out, (a, s["key"], s["span"], key, span, b - a, lead, s["least"], s["most"], s["copies"], part)):
-                    column.append(value)
-            kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["shift", "whole", "of", "key", "span", "n", "lead", "least", "most", "copies", "stretch"])
+                view, middle = w.view(s["stretch"]), (s["low"] + s["high"]) // 2
+                for low, high in ((s["low"], middle), (middle + 1, s["high"])):
+                    # The window at w has its anchor at lead - w.
+                    a, b = max(0, s["lead"] - high), min(s["n"], s["lead"] - low + 1)
+                    if a >= b:
+                        continue
+                    core = view(s["lead"] - low, s["lead"] - high + w.length)
+                    part = view(a, b + w.length - 1)
+                    lead = s["lead"] - a
+                    key, span = (int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=f"{low},{high}".encode()).digest(), "little", signed=True) for x in (core, part + f" {lead}".encode()))
+                    for column, value in zip(out, (a, s["key"], s["span"], key, span, b - a, lead, low, high, s["least"], s["most"], s["copies"], part)):
+                        column.append(value)
+            kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4, *[pa.int64()] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["shift", "whole", "of", "key", "span", "n", "lead", "low", "high", "least", "most", "copies", "stretch"])
 
     return run
 
