@@ -46,12 +46,14 @@ def _cut(data: Column, taken: Column, name: str, value: Column) -> Column:
 
 def byte_values(data: Column) -> Column:
     """The bytes of a binary column as an array of 0 to 255."""
-    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("bigint"))
+    letters = F.split(F.decode(data, "ISO-8859-1"), "")  # where a byte is a character of the same number
+    values = F.transform(letters, lambda c: F.ascii(c).cast("bigint"))
+    return F.when(F.octet_length(data) > 0, values).when(data.isNotNull(), F.expr("cast(array() as array<bigint>)"))
 
 
 def binary_of(values: Column) -> Column:
     """The inverse of ``byte_values``."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return F.encode(F.array_join(F.transform(values, F.char), ""), "ISO-8859-1")
 
 
 def _folded(values: Column) -> Column:
@@ -123,15 +125,18 @@ def bit_pack(values: Column, width: int) -> Column:
     if not width:
         return F.when(values.isNotNull(), F.lit(b""))
 
+    touched = -(-(width + 7) // width)  # values that a byte can have bits of
+
     def byte(vs: Column) -> Callable[[Column], Column]:
         def of(j: Column) -> Column:
-            def bit(t: int) -> Column:
-                at = j * 8 + t
-                inner = (at % width).cast("int")
-                v = F.coalesce(F.get(vs, ((at - inner) / width).cast("int")), F.lit(0)).cast("bigint")
-                return F.shiftleft(F.call_function("shiftright", v, inner).bitwiseAND(F.lit(1)), t)
-
-            return sum((bit(t) for t in range(1, 8)), bit(0))
+            bit = j.cast("bigint") * 8
+            inner = (bit % width).cast("int")
+            first = ((bit - inner) / width).cast("int")
+            seen = [F.coalesce(F.get(vs, first + t), F.lit(0)).cast("bigint").bitwiseAND(F.lit((1 << width) - 1)) for t in range(touched)]
+            out = F.call_function("shiftright", seen[0], inner)
+            for t, v in enumerate(seen[1:], 1):
+                out = out.bitwiseOR(F.call_function("shiftleft", v, F.lit(t * width) - inner))
+            return out.bitwiseAND(F.lit(255))
 
         return of
 
@@ -170,13 +175,21 @@ def dictionary_values(codes: Column, dictionary: Column) -> Column:
 
 
 def spread(levels: Column, most: int | Column, present: Column) -> Column:
-    """One slot for each definition level: the next of the ``present`` values where it equals ``most``, else null."""
+    """One slot for each definition level: the next of the ``present`` values where it equals ``most``, else null.
+
+    The places of defined slots, then those of the others, stand beside the
+    values, which end with the former; sorting by place puts them in order. So
+    nothing is counted again for each slot. Values must be of a type that sorts.
+    """
     most = _count(most)
-    full = F.transform(levels, lambda d: (d == most).cast("int"))
-    wanted = F.aggregate(full, F.lit(0), lambda a, b: a + b)
-    rank = lambda i: F.aggregate(F.slice(full, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b)
-    slots = F.transform(full, lambda f, i: F.when(f == 1, F.get(present, rank(i) - 1)))
-    return F.when(F.size(present) < wanted, F.raise_error(F.lit("fewer values than defined levels"))).otherwise(slots)
+    places = lambda full: F.filter(F.transform(levels, lambda d, i: F.when((d == most) == full, i)), lambda i: i.isNotNull())
+    short = F.raise_error(F.lit("fewer values than defined levels"))
+
+    def slots(at: Column) -> Column:
+        beside = F.zip_with(F.concat(at, places(False)), F.slice(present, F.lit(1), F.size(at)), lambda i, v: F.struct(i.alias("i"), v.alias("v")))
+        return F.when(F.size(present) < F.size(at), short).otherwise(F.transform(F.array_sort(beside), lambda x: x["v"]))
+
+    return F.when(levels.isNotNull() & present.isNotNull(), _let(places(True), slots))
 
 
 def zip_exact(left: Column, right: Column, names: tuple[str, str] = ("left", "right")) -> Column:
@@ -190,7 +203,7 @@ def levels_or_zeros(levels: Column, n: int | Column) -> Column:
     return F.when(F.size(levels) == 0, F.array_repeat(F.lit(0), _count(n))).otherwise(levels)
 
 
-def _hybrid(data: bytes, width: int, n: int) -> np.ndarray:
+def hybrid_values(data: bytes, width: int, n: int) -> np.ndarray:
     """``n`` values from runs: a varint header whose lowest bit tells packed groups (1) from a repeated value (0)."""
     out, have, at = [], 0, 0
     size = -(-width // 8)
@@ -261,12 +274,36 @@ def _hybrid_bytes(values: np.ndarray, width: int) -> bytes:
     return bytes(out)
 
 
+def level_block(data: Column, most: int, n: Column) -> Column:
+    """The block of ``n`` levels up to ``most`` at the start of a page: the four bytes of its length, then a hybrid of runs. Levels that can only be 0 have no block."""
+    width = most.bit_length()
+    if not width:
+        return _cut(data, F.lit(0), "values", F.array_repeat(F.lit(0).cast("bigint"), n.cast("int")))
+
+    def read(size: Column) -> Column:
+        taken = (size + 4).cast("int")
+        return _cut(data, taken, "values", hybrid_decode(F.substring(data, F.lit(5), size.cast("int")), width, n))
+
+    return read(uint_le(data, 4)["value"])
+
+
+def level_block_of(levels: Column, most: int) -> Column:
+    """The inverse of ``level_block``."""
+    width = most.bit_length()
+    if not width:
+        return F.when(levels.isNotNull(), F.lit(b""))
+    runs = hybrid_encode(levels, width)
+    size = F.unhex(F.lpad(F.hex(F.octet_length(runs)), 8, "0"))
+    head = F.concat(*(F.substring(size, k, 1) for k in (4, 3, 2, 1)))
+    return F.concat(head, runs)
+
+
 def hybrid_decode(data: Column, width: int, n: Column) -> Column:
     """``n`` values of a run-length and bit-packed hybrid of any number of runs. Runs end where their bytes say, so this is an Arrow UDF."""
 
     @F.pandas_udf("array<bigint>")
     def decode(data: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None or pd.isna(k) else _hybrid(bytes(d), width, int(k)) for d, k in zip(data, n)], dtype=object)
+        return pd.Series([None if d is None or pd.isna(k) else hybrid_values(bytes(d), width, int(k)) for d, k in zip(data, n)], dtype=object)
 
     return decode(data, n)
 

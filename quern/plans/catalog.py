@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from quern.functions import codecs, records, values
 from quern.operators import dictionary as dictionaries
 from quern.operators import shred as shredding
-from quern.sources import reader, sinks
-from quern.sources.metadata import metadata
+from quern.sources import chunks, reader, sinks
+from quern.sources.metadata import lookup, metadata
 from quern.streaming import records as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,6 +373,33 @@ def spread_levels(spark, sf_dir):
     return split.select("conv_id", pairs.alias("p")).select("conv_id", F.array_join(F.col("p.slot"), ",", "_").alias("slots"), F.array_join(F.col("p.level"), ",").alias("levels"))
 
 
+@_query(
+    """select doc_id, array_to_string(list_transform(range(1, 33), lambda i: ('0x' || substr(md5(text), i::int, 1))::int::varchar), ',') as digits from documents"""
+)
+def bit_unpack_counted(spark, sf_dir):
+    """The four-bit digits of a digest, the most significant bits first, behind their count of groups."""
+    data = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(b"\x09"), F.unhex(F.md5("text"))).alias("b"))
+    return data.select("doc_id", F.array_join(codecs.bit_unpack_counted(F.col("b"), 4)["values"], ",").alias("digits"))
+
+
+@_query(
+    """select conv_id, count(*)::bigint as n, string_agg(case when role = 'user' then '1' else '0' end, ',' order by turn, text) as levels from conversations group by conv_id"""
+)
+def level_blocks(spark, sf_dir):
+    """Blocks of definition levels with their length in front, and other bytes behind them."""
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
+    coded = turns.select("conv_id", F.size("t").alias("n"), codecs.level_block_of(F.transform("t", lambda t: (t["role"] == "user").cast("bigint")), 1).alias("b"))
+    found = coded.select("conv_id", "n", codecs.level_block(F.concat("b", F.lit(b"\x07\x07")), 1, F.col("n"))["values"].alias("levels"))
+    return found.select("conv_id", F.col("n").cast("bigint").alias("n"), F.array_join("levels", ",").alias("levels"))
+
+
+@_query("select n_nationkey, case when n_nationkey % 2 = 0 then '0,0,0' else '1,2' end as levels from nation")
+def levels_or_zeros(spark, sf_dir):
+    """Rows without levels have zeros, as many as there are values."""
+    given = F.when(F.col("n_nationkey") % 2 == 0, F.expr("cast(array() as array<int>)")).otherwise(F.array(F.lit(1), F.lit(2)))
+    return _read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(codecs.levels_or_zeros(given, 3), ",").alias("levels"))
+
+
 # Dictionaries and runs
 
 
@@ -498,6 +525,95 @@ def pages_values(spark, sf_dir):
     return found.groupBy("path_in_schema").agg(F.sum("num_values").alias("num_values"))
 
 
+@_query(
+    """select 0 as depth, '' as path_in_schema, '' as repetition_type, count(*)::int as num_children from duckdb_columns() where table_name = 'orders'
+       union all select 1, column_name, 'OPTIONAL', 0 from duckdb_columns() where table_name = 'orders'"""
+)
+def meta_schema_tree(spark, sf_dir):
+    """The root, which has no repetition of its own, and its children."""
+    found = metadata(spark, "schema", _path(sf_dir, "orders"))
+    return found.select("depth", "path_in_schema", F.when(F.col("depth") > 0, F.col("repetition_type")).otherwise("").alias("repetition_type"), F.coalesce("num_children", F.lit(0)).alias("num_children")).distinct()
+
+
+@_query(
+    """select column_name as path_in_schema, case data_type when 'VARCHAR' then 'STRING' when 'TIMESTAMP' then 'TIMESTAMP' end as logical,
+       case data_type when 'VARCHAR' then 'UTF8' when 'TIMESTAMP' then 'TIMESTAMP_MICROS' end as converted, case data_type when 'TIMESTAMP' then 'MICROS' end as unit from duckdb_columns() where table_name = 'events'"""
+)
+def meta_logical_types(spark, sf_dir):
+    found = metadata(spark, "schema", _path(sf_dir, "events")).where("depth > 0")
+    return found.select("path_in_schema", F.col("logical_type.name").alias("logical"), F.col("converted_type").alias("converted"), F.col("logical_type.unit").alias("unit")).distinct()
+
+
+@_query("select 'embedding.list.element' as path_in_schema, 'element' as name, 'FLOAT' as type, 'OPTIONAL' as repetition_type, 3 as depth")
+def meta_lookup(spark, sf_dir):
+    """One element by its path."""
+    return lookup(spark, _path(sf_dir, "embeddings"), "embedding", "list", "element").select("path_in_schema", "name", "type", "repetition_type", "depth").distinct()
+
+
+@_query("select count(*) as n_rows, true as adjacent from orders")
+def meta_group_offsets(spark, sf_dir):
+    """Row groups follow each other without gaps, in rows, and none is empty."""
+    from pyspark.sql import Window
+
+    groups = metadata(spark, "row_groups", _path(sf_dir, "orders"))
+    before = F.lag(F.col("first_row") + F.col("num_rows"), 1, 0).over(Window.partitionBy("path").orderBy("row_group"))
+    return groups.withColumn("before", before).agg(F.sum("num_rows").alias("n_rows"), F.every((F.col("before") == F.col("first_row")) & (F.col("total_byte_size") > 0)).alias("adjacent"))
+
+
+@_query("select column_name as path_in_schema, 'SNAPPY' as codec, true as levels_coded, true as sized, false as encrypted from duckdb_columns() where table_name = 'orders'")
+def meta_chunk_storage(spark, sf_dir):
+    """Compression, encodings, sizes and encryption of the column chunks."""
+    of = metadata(spark, "column_chunks", _path(sf_dir, "orders"))
+    sized = (F.col("total_compressed_size") > 0) & (F.col("total_uncompressed_size") > 0) & (F.col("data_page_offset") > 0)
+    return of.groupBy("path_in_schema", "codec").agg(
+        F.every(F.array_contains("encodings", "RLE")).alias("levels_coded"), F.every(sized).alias("sized"), F.some(F.col("crypto").isNotNull()).alias("encrypted")
+    )
+
+
+@_query("select column_name as path_in_schema, 'RLE' as levels, true as filled, true as adjacent from duckdb_columns() where table_name = 'orders'")
+def meta_page_headers(spark, sf_dir):
+    """Pages of a chunk follow each other without gaps; data pages state how their levels are coded."""
+    from pyspark.sql import Window
+
+    pages = metadata(spark, "pages", _path(sf_dir, "orders"))
+    end = F.col("offset") + F.col("header_size") + F.col("compressed_page_size")
+    before = F.lag(end).over(Window.partitionBy("path", "row_group", "path_in_schema").orderBy("page"))
+    return pages.withColumn("before", before).groupBy("path_in_schema").agg(
+        F.max("definition_level_encoding").alias("levels"), F.every(F.col("num_values") > 0).alias("filled"), F.every(F.coalesce(F.col("before") == F.col("offset"), F.lit(True))).alias("adjacent")
+    )
+
+
+# Column chunks
+
+
+@_query("select row_number() over (order by o_orderkey) - 1 as row_id, 0 as rep, 1 as def, o_orderkey as value from orders")
+def chunk_entries(spark, sf_dir):
+    """An integer column from its pages, with the levels that they hold."""
+    found = chunks.entries(spark, _path(sf_dir, "orders"), ["o_orderkey"])
+    return found.select("row_id", "rep", "def", codecs.uint_le(F.col("value"), 8)["value"].alias("value"))
+
+
+@_query("select row_number() over (order by doc_id) - 1 as row_id, text from documents")
+def chunk_entries_text(spark, sf_dir):
+    return chunks.entries(spark, _path(sf_dir, "documents"), ["text"]).select("row_id", F.decode("value", "UTF-8").alias("text"))
+
+
+@_query("select vec_id as row_id, cast(generate_subscripts(embedding, 1) > 1 as int) as rep, 3 as def, unnest(embedding)::double as value from embeddings")
+def chunk_entries_nested(spark, sf_dir):
+    """Lists from their pages: levels as stored, floats from their bytes. Vectors are stored by id from 0."""
+    found = chunks.entries(spark, _path(sf_dir, "embeddings"), [LEAF])
+    bits = codecs.uint_le(F.col("value"), 4)["value"]
+    exponent, mantissa = F.call_function("shiftright", bits, F.lit(23)).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit((1 << 23) - 1))
+    size = F.when(exponent == 0, mantissa * F.lit(2.0**-149)).otherwise((mantissa + (1 << 23)) * F.pow(F.lit(2.0), exponent - 150))
+    return found.select("row_id", "rep", "def", F.when(bits >= 1 << 31, -size).otherwise(size).alias("value"))
+
+
+@_query("select distinct o_orderpriority as value from orders")
+def chunk_dictionary(spark, sf_dir):
+    """The dictionaries of a column's chunks."""
+    return chunks.dictionary(spark, _path(sf_dir, "orders"), ["o_orderpriority"]).select(F.decode("value", "UTF-8").alias("value")).distinct()
+
+
 # Streams
 
 

@@ -146,9 +146,8 @@ def footer(source) -> dict:
 
 
 def first_page(chunk: dict) -> int:
-    """Where a column chunk's pages begin: at its dictionary, if there is one before its data. Its file_offset doesn't say so."""
-    data, dictionary = chunk["data_page_offset"], chunk.get("dictionary_page_offset", 0)
-    return dictionary if 0 < dictionary < data else data
+    """Where a column chunk's pages begin: at its dictionary or its data, whichever is first. Its file_offset doesn't say so, and a chunk without data pages has 0 for them."""
+    return min((x for x in (chunk["data_page_offset"], chunk.get("dictionary_page_offset", 0)) if x > 0), default=0)
 
 
 def pages(source, chunk: dict) -> Iterator[tuple[int, int, dict]]:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.sources import files
@@ -214,3 +215,9 @@ def metadata(spark: SparkSession, kind: str, path: str):
     """One of the formats' frames; ``kind`` without the prefix (file_meta, schema, row_groups, column_chunks or pages)."""
     register(spark)
     return spark.read.format(f"parquet_{kind}").load(path)
+
+
+def lookup(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """The schema elements at a path of names, one for each file; no names give the root. A path that a file lacks gives no row for it."""
+    at = ".".join(names)
+    return metadata(spark, "schema", path).where((F.col("path_in_schema") == at) & (F.col("depth") == len(names)))

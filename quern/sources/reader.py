@@ -120,21 +120,25 @@ class Part(InputPartition):
         self.path, self.number, self.start, self.stop = path, number, start, stop
 
 
+def parts(path: str) -> list[Part]:
+    """All files of a path in ranges of PART_BYTES; only their sizes are asked for."""
+    out = []
+    for name in files.listed(path):
+        source = files.opened(name)
+        size = source.size
+        source.close()
+        out += [Part(name, None, a, min(a + PART_BYTES, size)) for a in range(0, size, PART_BYTES)]
+    return out
+
+
 class RangedReader(DataSourceReader):
     def __init__(self, path: str, groups: list[int] | None, columns: list[str]):
         self.path, self.groups, self.columns = path, groups, columns
 
-    def partitions(self) -> list[RowGroup]:
-        out = []
-        for path in files.listed(self.path):
-            if self.groups is not None:
-                out += [Part(path, g, 0, 0) for g in self.groups]
-                continue
-            source = files.opened(path)
-            size = source.size
-            source.close()
-            out += [Part(path, None, a, min(a + PART_BYTES, size)) for a in range(0, size, PART_BYTES)]
-        return out
+    def partitions(self) -> list[Part]:
+        if self.groups is None:
+            return parts(self.path)
+        return [Part(path, g, 0, 0) for path in files.listed(self.path) for g in self.groups]
 
     def read(self, partition: Part):
         import pyarrow.parquet as pq

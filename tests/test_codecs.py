@@ -82,7 +82,7 @@ def test_pack_and_unpack(spark, b, width):
 def test_hybrid_of_many_runs(case):
     width, runs = case
     values = np.array([v for v, n in runs for _ in range(n)], np.int64)
-    assert codecs._hybrid(codecs._hybrid_bytes(values, width), width, len(values)).tolist() == values.tolist()
+    assert codecs.hybrid_values(codecs._hybrid_bytes(values, width), width, len(values)).tolist() == values.tolist()
 
 
 def test_hybrid_of_two_kinds_of_runs(spark, b):
