@@ -1,8 +1,10 @@
 """op4 to op10 on small tables: brute force, round trips, held-out accuracy and odd rows."""
 
+import glob
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -13,7 +15,7 @@ import pytest
 from conftest import SF, need_tables, prose
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, fingerprint, langid, near_dup, registry, secrets, toxicity
+from quern.llm import bpe, common, decontaminate, fingerprint, langid, near_dup, registry, secrets, toxicity
 
 
 def pairs(df):
@@ -379,6 +381,37 @@ def test_side_clusters_that_share_several_changes(spark, monkeypatch):
     assert sorted(map(tuple, found), key=str) == brute_components(rows, 1, 85)
 
 
+def test_buckets_of_a_family_move_to_one_pivot(spark):
+    """Doc 1 meets docs 10 to 49 in band 0; bands 1 to 8 hold seven to nine of them without it, and 90 once."""
+    rng = random.Random(13)
+    bucket = {0: [1, *range(10, 50)]} | {b: sorted(rng.sample(range(10, 50), 8)) for b in range(1, 8)} | {8: [*range(10, 18), 90]}
+    rows = [(0, b, d, 50, 0, d, len(m), max(m), len(m) - 1) for b, m in bucket.items() for d in m]
+    live = spark.createDataFrame(rows, "origin bigint, bucket bigint, doc bigint, n bigint, far bigint, component bigint, members bigint, top bigint, others bigint")
+    _, groups = near_dup._to_confirm(live, 85, near_dup.SMALL)
+    found = {(r["x"], r["y"]) for r in groups.collect()}
+    together = [{y} | {x for x, p in found if p == y} for y in {p for _, p in found}]
+    assert all(any(set(m) <= group for group in together) for m in bucket.values())
+    assert len(together) == 1, "a group for each band"
+
+
+def test_shuffled_files_go_as_each_written_step_ends(spark):
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for top in local for f in glob.glob(f"{top}/**/shuffle_*", recursive=True)}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.range(1000).repartition(3, "id")
+    kept.collect()
+    for write in (common.cut, common.afresh):
+        before, setting = shuffled(), spark.conf.get(name)
+        written = write(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+        assert spark.conf.get(name) == setting
+        until = time.time() + 5
+        while (left := shuffled() - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left
+        assert written.count() == 100
+    assert kept.count() == 1000
+
+
 def test_ids_with_several_texts_are_one_node(spark):
     texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "pqrs"]
     rows = [(5, texts[0]), (5, texts[1]), (9, texts[1]), (3, texts[0]), (7, texts[2]), (9, texts[2]), (8, texts[3])]
