@@ -394,6 +394,43 @@ def test_buckets_of_a_family_move_to_one_pivot(spark):
     assert len(together) == 1, "a group for each band"
 
 
+def test_pairs_that_cannot_link_are_not_confirmed(spark, monkeypatch):
+    """A text's variants in small buckets: each has changes of others, but only two in forty are close enough to link."""
+    rng = random.Random(17)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(160):
+        w = list(rows[k - 1][1].split() if k % 40 == 39 else base)
+        for _ in range(1 if k % 40 == 39 else 18):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(12)}"
+        rows.append((k, " ".join(w)))
+    confirmed, asked = near_dup.confirmed, []
+
+    def seen(pairs, *more):
+        pairs = near_dup.afresh(pairs)
+        asked.append(pairs.where("not star").count())
+        return confirmed(pairs, *more)
+
+    signed = near_dup.signed
+    small = F.transform("bands", lambda b: F.pmod(b, F.lit(40)))
+    monkeypatch.setattr(near_dup, "signed", lambda *a: signed(*a).withColumn("bands", F.array_distinct(F.slice(small, 1, 12))))
+    monkeypatch.setattr(near_dup, "SMALL", 200)
+    monkeypatch.setattr(near_dup, "confirmed", seen)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert 0 < sum(not r["kept"] for r in found) <= 4
+    assert 0 < sum(asked) < 40, "of some thousand pairs in the buckets"
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 40, 300, 300, 2000)]
+    found = near_dup.parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for x, p in zip(sets, found):
+        for y, q in zip(sets, found):
+            differ, far = int(np.bitwise_count(p ^ q).sum()), len(np.setxor1d(x, y))
+            assert differ <= far and (far - differ) % 2 == 0 and (far < 20 or differ > far / 3)
+
+
 def test_shuffled_files_go_as_each_written_step_ends(spark):
     local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
     shuffled = lambda: {f for top in local for f in glob.glob(f"{top}/**/shuffle_*", recursive=True)}
