@@ -2,11 +2,13 @@
 
 import glob
 import hashlib
+import math
 import random
 import re
 import time
 import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -266,6 +268,42 @@ def test_the_filter_of_words_changes_no_mean(spark, monkeypatch):
     assert sorted(found[0].values()) == pytest.approx(sorted(w / 4 for w in want if w))
 
 
+def models(rows):
+    """Each class's probability of every word by the rules of the module, on exact words, and the log ratio of those that neither has kept."""
+    n, beside = [Counter(), Counter()], {}
+    for text, y in rows:
+        w = text.split()
+        n[y].update(w)
+        for v, x in zip([None, *w], w):
+            beside.setdefault(x, set()).add(v)
+    total = [sum(c.values()) for c in n]
+    away = [toxicity.DISCOUNT * t / min(total) for t in total]
+    more = math.exp(toxicity.MARGIN)
+    kept = [{w: max(0, n[y][w] - max(away[y], more * total[y] * n[1 - y][w] / total[1 - y])) for w in beside} for y in (0, 1)]
+    pooled = {w: max(0, n[0][w] + n[1][w] - toxicity.POOLED_DISCOUNT) for w in beside}
+    contexts = sum(map(len, beside.values()))
+    lowest = {w: (len(c) + 0.1) / (contexts + 0.1 * len(beside)) for w, c in beside.items()}
+    shared = {w: (pooled[w] + (sum(total) - sum(pooled.values())) * lowest[w]) / sum(total) for w in beside}
+    rest = [1 - sum(k.values()) / t for k, t in zip(kept, total)]
+    return [{w: kept[y][w] / total[y] + rest[y] * shared[w] for w in beside} for y in (0, 1)], math.log(rest[1] / rest[0])
+
+
+def test_means_are_differences_of_log_likelihoods_by_length(spark):
+    rng = random.Random(21)
+    rows = [(prose(rng, 60) + (" foul vile" * 2 + " w1" * 8 if k % 3 == 0 else " kind"), int(k % 3 == 0)) for k in range(120)]
+    (ordinary, toxic), unkept = models(rows)
+    assert sum(ordinary.values()) == pytest.approx(1) == sum(toxic.values())
+    assert toxic["foul"] > 3 * ordinary["foul"] and ordinary["kind"] > 1.5 * toxic["kind"] and abs(math.log(toxic["w9"] / ordinary["w9"]) - unkept) < 1e-9
+    ratios = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    texts = ["foul", "foul w1 w7", "vile vile w2", "kind w1", "w1 w7 w8", *(t for t, _ in rows[:12])]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    scored = docs.select("text", F.xxhash64("text").alias("th")).join(toxicity.means(docs, ratios), "th", "left")
+    found = {r["text"]: r["mean"] or 0.0 for r in scored.collect()}
+    for text in texts:
+        w = text.split()
+        assert found[text] == pytest.approx(sum(math.log(toxic[x] / ordinary[x]) for x in w) / len(w) - unkept, abs=1e-9)
+
+
 # BPE
 
 
